@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding
+from tidemark.llm import secrets, sharding
 from tidemark.llm.common import documents
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).drop("live")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sharding": op8_sharding}
+    return {
+        "op4_secrets": op4_secrets,
+        "op8_sharding": op8_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
