@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, secrets, sharding
+from tidemark.llm import bpe, language, secrets, sharding
 from tidemark.llm.common import documents
 
 
@@ -24,6 +24,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("live")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, ~language.held_out())
+    judged = language.identify(docs, model, carry=["doc_id"])
+    return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
@@ -32,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
+        "op5_language": op5_language,
         "op8_sharding": op8_sharding,
     }
 
