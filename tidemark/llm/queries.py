@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, language, secrets, sharding
+from tidemark.llm import bpe, imatch, language, secrets, sharding
 from tidemark.llm.common import documents
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_report(documents(spark, sf_dir))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -37,6 +41,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_imatch": op2_imatch,
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
         "op5_language": op5_language,
