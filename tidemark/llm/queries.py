@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, imatch, language, secrets, sharding
+from tidemark.llm import bpe, decontaminate, imatch, language, secrets, sharding
 from tidemark.llm.common import documents
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, sf_dir), benchmark).drop("text_md5")
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_report(documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_imatch": op2_imatch,
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
