@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, language, secrets, sharding
+from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, secrets, sharding
 from tidemark.llm.common import documents
 
 
@@ -40,6 +40,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(documents(spark, sf_dir), size=3, per_cent=90)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
         "op5_language": op5_language,
+        "op7_ngram_join": op7_ngram_join,
         "op8_sharding": op8_sharding,
     }
 
