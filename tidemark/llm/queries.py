@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, secrets, sharding
+from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, resampling, secrets, sharding
 from tidemark.llm.common import documents
 
 
@@ -48,6 +48,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
 
+def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": op5_language,
         "op7_ngram_join": op7_ngram_join,
         "op8_sharding": op8_sharding,
+        "op10_resampling": op10_resampling,
     }
 
 
