@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, resampling, secrets, sharding
-from tidemark.llm.common import documents
+from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, resampling, secrets, sharding, token_files
+from tidemark.llm.common import documents, shared_dir
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), out, end_id=1)
+    return token_files.read_digests(spark, out)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(documents(spark, sf_dir), size=3, per_cent=90)
 
@@ -59,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
         "op5_language": op5_language,
+        "op6_token_files": op6_token_files,
         "op7_ngram_join": op7_ngram_join,
         "op8_sharding": op8_sharding,
         "op10_resampling": op10_resampling,
