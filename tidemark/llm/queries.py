@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, resampling, secrets, sharding, token_files
+from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, repeats, resampling, secrets, sharding, token_files
 from tidemark.llm.common import documents, shared_dir
 
 
@@ -55,6 +55,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(documents(spark, sf_dir))
+
+
 def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_ngram_join": op7_ngram_join,
         "op8_sharding": op8_sharding,
+        "op9_repeats": op9_repeats,
         "op10_resampling": op10_resampling,
     }
 
