@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ORDER = Window.partitionBy("instrument").orderBy("ts", "seq")
+
+def order():
+    """Ticks of an instrument in time order."""
+    return Window.partitionBy("instrument").orderBy("ts", "seq")
 
 
 def ticks_from_events(events: DataFrame) -> DataFrame:
@@ -22,9 +25,9 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
 
 def tick_rule(ticks: DataFrame) -> DataFrame:
     """Adds `rn` (position, from 1) and `side`: sign of the last price change that is not zero, +1 before any."""
-    change = F.signum(F.col("price") - F.lag("price").over(ORDER))
-    stepped = ticks.withColumn("rn", F.row_number().over(ORDER)).withColumn("_chg", F.nullif(change, F.lit(0.0)))
-    so_far = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    change = F.signum(F.col("price") - F.lag("price").over(order()))
+    stepped = ticks.withColumn("rn", F.row_number().over(order())).withColumn("_chg", F.nullif(change, F.lit(0.0)))
+    so_far = order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     side = F.coalesce(F.last("_chg", ignorenulls=True).over(so_far), F.lit(1.0)).cast("int")
     return stepped.withColumn("side", side).drop("_chg")
 
