@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import q_bars, q_pit  # noqa: F401
+from tidemark.plans import q_bars, q_pit, q_research  # noqa: F401
