@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidemark import kernels
 from tidemark.operators import bars
 from tidemark.plans.registry import query, table
 
@@ -31,3 +34,68 @@ FROM signed GROUP BY 1, 2 HAVING count(*) = 10""",
 )
 def bars_tick(spark, sf_dir):
     return bars.tick_bars(bars.ticks_from_events(table(spark, sf_dir, "events")), 10)
+
+
+def _ticks(spark, sf_dir):
+    return bars.ticks_from_events(table(spark, sf_dir, "events"))
+
+
+def _bar_sql(source: str, extra: str = "") -> str:
+    return f"""SELECT instrument, bar_id, min(ts) AS ts_open, max(ts) AS ts_close, arg_min(price, rn) AS open, max(price) AS high, min(price) AS low, arg_max(price, rn) AS close,
+sum(size) AS volume, round(sum(price * size) / sum(size), 6) AS vwap, count(*) AS tick_count, round(sum(price * size), 4) AS dollar_volume, CAST(sum(side) AS BIGINT) AS signed_ticks
+FROM {source} GROUP BY 1, 2 {extra}"""
+
+
+def _reset_sql(value: str, threshold: float) -> str:
+    """Bars by a recursive sum that starts again where it reaches the threshold."""
+    return f"""WITH RECURSIVE {SIGNED_SQL}, walk AS (
+  SELECT instrument, rn, CASE WHEN {value} >= {threshold} THEN 0.0 ELSE {value} END AS acc, 0 AS bar_id, {value} >= {threshold} AS closes FROM signed WHERE rn = 1
+  UNION ALL SELECT s.instrument, s.rn, CASE WHEN w.acc + {value} >= {threshold} THEN 0.0 ELSE w.acc + {value} END, CASE WHEN w.closes THEN w.bar_id + 1 ELSE w.bar_id END, w.acc + {value} >= {threshold}
+  FROM walk w JOIN signed s ON s.instrument = w.instrument AND s.rn = w.rn + 1),
+t AS (SELECT s.*, CAST(w.bar_id AS BIGINT) AS bar_id, w.closes FROM signed s JOIN walk w USING (instrument, rn))
+{_bar_sql('t', 'HAVING bool_or(closes)')}"""
+
+
+@query("bars_volume", _reset_sql("CAST(size AS DOUBLE)", 300.0))
+def bars_volume(spark, sf_dir):
+    return bars.threshold_bars(_ticks(spark, sf_dir), 300.0, "volume")
+
+
+@query("bars_dollar", _reset_sql("price * size", 20000.0))
+def bars_dollar(spark, sf_dir):
+    return bars.threshold_bars(_ticks(spark, sf_dir), 20000.0, "dollar")
+
+
+for _kind in bars.INCREMENTS:
+
+    @query(f"bars_imbalance_{_kind}")
+    def bars_imbalance(spark, sf_dir, kind=_kind):
+        return bars.imbalance_bars(_ticks(spark, sf_dir), kind, kernels.ImbalanceConfig(exp_ticks=5, warmup=10, span_ticks=5, span_imbalance=5))
+
+    @query(f"bars_runs_{_kind}")
+    def bars_runs(spark, sf_dir, kind=_kind):
+        return bars.runs_bars(_ticks(spark, sf_dir), kind, kernels.RunsConfig(exp_ticks=5, warmup=10, span=5))
+
+
+@query("bars_time_window", f"WITH {SIGNED_SQL}, t AS (SELECT *, date_trunc('day', ts) AS bar_id FROM signed) {_bar_sql('t')}")
+def bars_time_window(spark, sf_dir):
+    return bars.time_bars(_ticks(spark, sf_dir), "1 day")
+
+
+@query("bars_session_window", f"""WITH {SIGNED_SQL}, n AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM signed WINDOW w AS (PARTITION BY instrument ORDER BY ts, seq)),
+t AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS bar_id FROM n) {_bar_sql('t')}""")
+def bars_session_window(spark, sf_dir):
+    return bars.session_bars(_ticks(spark, sf_dir), 86400)
+
+
+@query("bars_flow_ratios", f"""WITH {SIGNED_SQL} SELECT instrument, (rn - 1) // 10 AS bar_id, round(sum(side * size) / sum(size), 6) AS volume_ratio,
+round(sum(side * price * size) / sum(price * size), 6) AS dollar_ratio, round(sum(side) / count(*), 6) AS tick_ratio FROM signed GROUP BY 1, 2 HAVING count(*) = 10""")
+def bars_flow_ratios(spark, sf_dir):
+    out = bars.flow_ratios(_ticks(spark, sf_dir), 10)
+    return out.select("instrument", "bar_id", *(F.round(c, 6).alias(c) for c in ("volume_ratio", "dollar_ratio", "tick_ratio")))
+
+
+@query("bars_statistics", f"""WITH {SIGNED_SQL} SELECT instrument, (rn - 1) // 10 AS bar_id, round(avg(size), 6) AS mean, arg_max(size, rn) AS last, round(stddev_samp(size), 6) AS std,
+min(size) AS least, max(size) AS greatest, arg_max(size, rn) - arg_min(size, rn) AS change FROM signed GROUP BY 1, 2 HAVING count(*) = 10""")
+def bars_statistics(spark, sf_dir):
+    return bars.bar_statistics(_ticks(spark, sf_dir), 10).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
