@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import q_bars, q_labels, q_micro, q_pit, q_research  # noqa: F401
+from tidemark.plans import q_bars, q_conformal, q_info, q_labels, q_micro, q_pit, q_research  # noqa: F401
