@@ -55,7 +55,7 @@ def label_events(spark, sf_dir):
 @query("label_triple_barrier", f"""WITH {EVENTS_SQL}, b AS (SELECT e.*, s.price AS p0, s.price * (1 + 0.5) AS up, s.price * (1 - 0.5) AS dn FROM e JOIN series s USING (instrument, pos)),
 hit AS (SELECT b.instrument, b.pos, min(s.pos) AS at FROM b JOIN series s ON s.instrument = b.instrument AND s.pos > b.pos AND s.pos <= b.t1 AND (s.price >= b.up OR s.price <= b.dn) GROUP BY 1, 2),
 x AS (SELECT b.*, coalesce(hit.at, b.t1) AS exit, hit.at IS NOT NULL AS touched FROM b LEFT JOIN hit USING (instrument, pos))
-SELECT x.instrument, CAST(x.pos AS INTEGER) AS pos, CAST(x.exit AS INTEGER) AS exit, CASE WHEN NOT touched THEN 0 WHEN s.price >= up THEN 1 ELSE -1 END AS label, round((s.price / p0 - 1) * side, 6) AS ret,
+SELECT x.instrument, CAST(x.pos AS INTEGER) AS pos, CAST(x.exit AS INTEGER) AS exit, CASE WHEN NOT touched THEN 0 WHEN s.price >= up THEN 1 ELSE -1 END AS label, round((s.price / p0 - 1) * side, 6) + 0 AS ret,
 CAST((CASE WHEN NOT touched THEN 0 WHEN s.price >= up THEN 1 ELSE -1 END) * side AS INTEGER) AS bin FROM x JOIN series s ON s.instrument = x.instrument AND s.pos = x.exit""")
 def label_triple_barrier(spark, sf_dir):
     out = lb.triple_barrier(_series(spark, sf_dir), _events(spark, sf_dir), 6)

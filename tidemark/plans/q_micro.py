@@ -120,10 +120,10 @@ def micro_signed_flow(spark, sf_dir):
 m AS (SELECT instrument, count(*) AS n, sum(ret * ret) AS rv, sum(CASE WHEN ret > 0 THEN ret * ret ELSE 0 END) AS rs_plus, sum(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END) AS rs_minus,
   pi() / 2 * sum(p) AS bpv, sum(pow(ret, 3)) AS s3, sum(pow(ret, 4)) AS s4 FROM r GROUP BY 1)
 SELECT instrument, n, round(rv, 4) AS rv, round(rs_plus, 4) AS rs_plus, round(rs_minus, 4) AS rs_minus, round(rs_plus - rs_minus, 4) AS signed_jump, round(bpv, 4) AS bpv,
-round(greatest(rv - bpv, 0) / rv, 4) AS rel_jump, round(sqrt(n) * s3 / pow(rv, 1.5), 4) AS skew, round(n / 3.0 * s4, 2) AS quarticity FROM m""")
+round(greatest(rv - bpv, 0) / rv, 4) AS rel_jump, round(sqrt(n) * s3 / pow(rv, 1.5), 4) AS skew, round(ln(n / 3.0 * s4), 4) AS quarticity FROM m""")
 def micro_realized_moments(spark, sf_dir):
     rows = xs.with_returns(daily(spark, sf_dir))
-    return rounded(ms.realized_moments(rows, ["instrument"], ["date"]).withColumn("quarticity", F.round("quarticity", 2)), 4)
+    return rounded(ms.realized_moments(rows, ["instrument"], ["date"]).withColumn("quarticity", F.log("quarticity")), 4)
 
 
 @query("micro_deseasonalize", f"""WITH {SIGNED_SQL}, b AS (SELECT *, hour(ts) // 8 AS bucket FROM signed)

@@ -15,7 +15,7 @@ W = "(PARTITION BY instrument ORDER BY date)"
 
 def rounded(df, digits: int = 6):
     """Doubles rounded, so that sums in another order agree."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 @query("xs_momentum", f"WITH {DAILY_SQL} SELECT instrument, date, round(lag(close, 2) OVER {W} / lag(close, 20) OVER {W} - 1, 6) AS factor FROM daily")
@@ -206,9 +206,10 @@ def _calm(spark, sf_dir):
     return _returns(spark, sf_dir).withColumn("ret", F.col("ret") / 10)
 
 
-@query("perf_drawdown", f"WITH {EQUITY_SQL} SELECT instrument, date, round(equity, 5) AS equity, round(drawdown, 5) AS drawdown FROM dd")
+@query("perf_drawdown", f"WITH {EQUITY_SQL} SELECT instrument, date, round(ln(equity), 5) + 0 AS log_equity, round(drawdown, 5) + 0 AS drawdown FROM dd")
 def perf_drawdown(spark, sf_dir):
-    return rounded(perf.equity(_calm(spark, sf_dir), "instrument").select("instrument", "date", "equity", "drawdown"), 5)
+    out = perf.equity(_calm(spark, sf_dir), "instrument")
+    return rounded(out.select("instrument", "date", F.log("equity").alias("log_equity"), "drawdown"), 5)
 
 
 @query("perf_max_drawdown", f"WITH {EQUITY_SQL} SELECT instrument, round(min(drawdown), 5) AS max_drawdown FROM dd GROUP BY 1")
@@ -246,7 +247,7 @@ def perf_relative(spark, sf_dir):
 @query("perf_attribution", f"""WITH {BENCH_SQL}, m AS (SELECT instrument, avg(ret) AS y, avg(bench) AS x, avg(size) AS z, var_pop(bench) AS xx, var_pop(size) AS zz, var_pop(ret) AS yy,
 covar_pop(bench, size) AS xz, covar_pop(bench, ret) AS xy, covar_pop(size, ret) AS zy FROM b GROUP BY 1),
 c AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM m)
-SELECT instrument, round(y - bx * x - bz * z, 4) AS intercept, round(bx, 4) AS beta_bench, round(bz, 4) AS beta_size, round((bx * xy + bz * zy) / yy, 4) AS r2 FROM c""")
+SELECT instrument, round(y - bx * x - bz * z, 4) + 0 AS intercept, round(bx, 4) + 0 AS beta_bench, round(bz, 4) + 0 AS beta_size, round((bx * xy + bz * zy) / yy, 4) AS r2 FROM c""")
 def perf_attribution(spark, sf_dir):
     return rounded(perf.attribution(_benched(spark, sf_dir), "instrument", ["bench", "size"]), 4)
 
@@ -260,7 +261,7 @@ def perf_tail(spark, sf_dir):
 
 @query("perf_rolling", f"""WITH {BENCH_SQL} SELECT instrument, date, round(CASE WHEN count(ret) OVER w = 10 THEN stddev_samp(ret) OVER w * sqrt(252) END, 4) AS rolling_vol,
 round(CASE WHEN count(ret) OVER w = 10 THEN avg(ret) OVER w * sqrt(252) / stddev_samp(ret) OVER w END, 4) AS rolling_sharpe,
-round(CASE WHEN count(ret) OVER w = 10 THEN covar_samp(ret, bench) OVER w / var_samp(bench) OVER w END, 4) AS rolling_beta,
+round(CASE WHEN count(ret) OVER w = 10 THEN covar_samp(ret, bench) OVER w / var_samp(bench) OVER w END, 4) + 0 AS rolling_beta,
 round(CASE WHEN count(ret) OVER w = 10 THEN avg(ret - bench) OVER w * sqrt(252) / stddev_samp(ret - bench) OVER w END, 4) AS rolling_ir
 FROM b WINDOW w AS (PARTITION BY instrument ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def perf_rolling(spark, sf_dir):
