@@ -82,8 +82,8 @@ def test_long_lists_in_blocks_and_two_rounds(monkeypatch):
     sets = list({s.tobytes(): s for s in sets}.values())
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    rows = {"cid": order, "n": n[order], "own": order, "part": order % 3, "token": np.zeros(len(n), np.int64)}
-    rows |= {c: np.array([ngram_join.sketch(sets[i])[k] for i in order]) for k, c in enumerate(("s0", "s1"))}
+    rows = {"cid": order, "n": n[order], "own": order, "part": order % 3, "token": np.zeros(len(n), np.int64), "first": np.ones(len(n), bool)}
+    rows["sketch"] = np.stack([ngram_join.folded(ngram_join.wide_sketch(sets[i]), 64).view(np.uint64) for i in order])
     linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
     whole = rows | {c: np.zeros(len(n), np.int64) for c in ("lo", "hi", "part")}
     assert linked <= set(map(tuple, ngram_join._scan(whole, 90, 0, True)))
@@ -101,6 +101,8 @@ def test_long_lists_in_blocks_and_two_rounds(monkeypatch):
 def test_dense_group_end_to_end(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONG", 5)
     monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "HEAVY_PART", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # lists go on from batch to batch
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(80)]
     rows = []
@@ -110,6 +112,7 @@ def test_dense_group_end_to_end(spark, monkeypatch):
             w[rnd.randrange(80)] = f"x{rnd.randrange(99)}"
         rows.append((i, " ".join(w), 1, "x", 1))
     compare(spark, rows, 3, 90)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_one_stays_and_empty_table(spark):
