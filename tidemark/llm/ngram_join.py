@@ -9,10 +9,11 @@ smallest set that has it, if similar enough; a pair that links is linked to it b
 without any pair being listed.
 
 Heavier sets are joined by inverted lists. Shingles are put in one order for all, those found in many documents last and
-the others by hash; a linked pair shares a shingle among the first (100 - per_cent) % of either, so only these are
-listed. Each list is scanned by size: a pair is kept if the sizes allow a link and if the parity sketches do. A sketch
-has SKETCH bits, each flipped by the shingles that hash to it, so two sketches never differ in more bits than the sets
-differ in shingles: nothing that links is lost. What is left is verified with the sets themselves.
+the others by hash; a linked pair shares a shingle among the first (100 - per_cent) % of the larger set and a smaller
+part of the other, so only these are listed. Each list is scanned by size: a pair is kept if the sizes allow a link and if the parity sketches do. A sketch
+has SKETCH bits (NARROW for long lists), each flipped by the shingles that hash to it, so two sketches never differ in more bits than the sets
+differ in shingles: nothing that links is lost. Pairs are held against wider sketches of the same kind next, twice as
+wide as the sets are large, and what is left is verified with the sets themselves.
 
 The boundary is the one with the least total cost, from the counts of all sizes. A list longer than LONG gives, in a
 first round, one pair for each member with a leader it may link with; after these are verified, a second round takes
@@ -36,17 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
-from tidemark.llm.common import materialized
+from tidemark.llm.common import discard, materialized
 from tidemark.llm.components import components
 
 LIGHTEST = 32  # largest boundary that is weighed
 SKETCH = 128
-LONG, BLOCK = 64, 2048
-HEAVY_SHARE = 200  # a shingle found in one document of so many is put last
-HEAVY_PART = 8
+LONG, BLOCK = 16, 2048
+NARROW = 512  # bits of the sketches that long lists are scanned with
+WIDEST = 1 << 14  # bits of the widest sketch that pairs are held against
+HEAVY_SHARE = 1000  # a shingle found in one document of so many is put last
+HEAVY_PART = 3
 VERIFY_COST = 4  # of a pair, against listing a shingle
 NO_ID = (1 << 63) - 1
-SET_COLUMNS = "doc_id long, n long, h1 long, h2 long, tokens array<long>, s0 long, s1 long"
+SET_COLUMNS = "doc_id long, n long, h1 long, h2 long, tokens array<long>, narrow binary, wide binary"
 PAIRS = "a long, b long"
 
 
@@ -59,6 +62,11 @@ def listed(n: int, per_cent: int) -> int:
     return n - kept(n, per_cent) + 1
 
 
+def indexed(n: int, per_cent: int) -> int:
+    """How many of its first shingles a set need share with a set that is no smaller and links with it."""
+    return n + (-2 * per_cent * n // (100 + per_cent)) + 1
+
+
 def subsets(n: int, per_cent: int) -> int:
     return sum(comb(n, d) for d in range(n - kept(n, per_cent) + 1))
 
@@ -68,10 +76,16 @@ def _signed(x) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketch(s: np.ndarray) -> tuple[int, int]:
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    packed = np.packbits(odd.astype(np.uint8)).view("<i8")
-    return int(packed[0]), int(packed[1])
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """Bytes of the parity sketch whose width, a power of two, is at least twice the size of the set."""
+    width = min(WIDEST, max(NARROW, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % width, minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(wide: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of `size` bytes that the same set has."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, size), axis=0)
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -115,15 +129,16 @@ def document_sets(docs: DataFrame, size: int, per_cent: int, heavy: np.ndarray,
             rows = []
             for _, s in shingles.sets(batch["text"], size):
                 if not len(s):
-                    rows.append((0, 0, 0, [], 0, 0))
+                    rows.append((0, 0, 0, [], b"", b""))
                     continue
                 is_late = late[np.searchsorted(late, s).clip(max=len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                 tokens = np.concatenate((s[~is_late], s[is_late])) if is_late.any() else s
                 if not whole and len(s) > LIGHTEST:
                     tokens = tokens[: listed(len(s), per_cent)]
-                rows.append((len(s), *identity(s), tokens.view(np.int64), *sketch(s)))
+                wide = wide_sketch(s)
+                rows.append((len(s), *identity(s), tokens.view(np.int64), folded(wide, SKETCH // 8).tobytes(), wide.tobytes()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, SET_COLUMNS)
@@ -175,14 +190,16 @@ def _may_link(na: np.ndarray, nb: np.ndarray, bits: np.ndarray, per_cent: int) -
 
 def _scan(rows: dict[str, np.ndarray], per_cent: int, most_light: int, second: bool) -> np.ndarray:
     """Pairs of cid of whole lists, which stand one after the other, each by size."""
-    n, cid, part, group = (rows[c] for c in ("n", "cid", "part", "own"))
-    s0, s1 = (np.ascontiguousarray(rows[c]).view(np.uint64) for c in ("s0", "s1"))  # bits are counted without a sign
+    n, cid, part, group, first = (rows[c] for c in ("n", "cid", "part", "own", "first"))
+    sketches = rows["sketch"]
     starts = np.flatnonzero(np.concatenate(([True], np.any([rows[c][1:] != rows[c][:-1] for c in ("token", "lo", "hi")], axis=0))))
     lengths = np.diff(np.concatenate((starts, [len(n)])))
     found: list[np.ndarray] = []
 
     def pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        # the smaller of the two comes first, and its share of the list is shorter
+        i, j = i[first[i]], j[first[i]]
+        bits = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
         ok = _may_link(n[i], n[j], bits, per_cent) & (np.maximum(n[i], n[j]) > most_light) & (cid[i] != cid[j])
         # in a list dealt in blocks, members of one block meet in that block alone
         ok &= (rows["lo"][i] == rows["hi"][i]) | (part[i] != part[j])
@@ -216,23 +233,27 @@ def _scan(rows: dict[str, np.ndarray], per_cent: int, most_light: int, second: b
 
 
 def list_pairs(postings: DataFrame, per_cent: int, most_light: int, second: bool) -> DataFrame:
-    """Distinct pairs that lists let through; postings: token, lo, hi, part, cid, n, s0, s1, own."""
-    names = ("token", "lo", "hi", "part", "cid", "n", "s0", "s1", "own")
+    """Distinct pairs that lists let through; postings: token, lo, hi, part, cid, n, first, own, sketch (binary, of one
+    size)."""
+    names = ("token", "lo", "hi", "part", "cid", "n", "first", "own")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: dict[str, list[np.ndarray]] = {}
+    def sketched(column: pa.Array) -> np.ndarray:
+        _, _, data = column.buffers()
+        size = len(column[0].as_buffer())
+        return np.frombuffer(data, np.uint64, len(column) * size // 8, column.offset * size).reshape(len(column), size // 8)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scanned(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
             out = _scan(rows, per_cent, most_light, second)
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
         held = None
         for batch in batches:
-            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
-            if held is not None:
-                rows = {c: np.concatenate((held[c], rows[c])) for c in names}
-            if not len(rows["n"]):
+            if not batch.num_rows:
                 continue
+            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in names} | {"sketch": sketched(batch["sketch"])}
+            if held is not None:
+                rows = {c: np.concatenate((held[c], x)) for c, x in rows.items()}
             new = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in ("token", "lo", "hi")], axis=0))
             cut = int(new[-1]) + 1 if len(new) else 0  # the last list may go on in the next batch
             if cut:
@@ -241,12 +262,38 @@ def list_pairs(postings: DataFrame, per_cent: int, most_light: int, second: bool
         if held is not None and len(held["n"]):
             yield scanned(held)
 
-    dealt = postings.select(*names).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "cid")
+    dealt = postings.select(*names, "sketch").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "cid")
     return dealt.mapInArrow(run, PAIRS).distinct()
 
 
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [folded(np.frombuffer(w.as_buffer(), np.uint8), NARROW // 8).tobytes() for w in batch["w"]]
+        yield pa.RecordBatch.from_arrays([batch["cid"], pa.array(made, pa.binary())], names=["cid", "sketch"])
+
+
+def near(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs that the wide sketches let through."""
+    own = classes.select("cid", "n", "wide")
+    met = pairs.join(own.toDF("a", "na", "wa"), "a").join(own.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, wa, wb in zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), batch["wa"], batch["wb"], strict=True):
+                x, y = np.frombuffer(wa.as_buffer(), np.uint8), np.frombuffer(wb.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                bits = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep.append(bits <= na + nb - 2 * -(-per_cent * (na + nb) // (100 + per_cent)))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    return met.mapInArrow(run, PAIRS)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by the sets themselves, made again from the texts of the classes met."""
+    """The pairs whose sets are similar enough, by the sets themselves, made again from the texts of the classes that the
+    wide sketches leave."""
+    pairs = materialized(near(pairs, classes, per_cent), "near")
     met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     picked = classes.join(met, "cid").select(F.col("rep").alias("key"), "cid", "n", "h1", "h2")
     texts = docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).join(picked.select("key").distinct(), "key").select("doc_id", "text")
@@ -271,15 +318,20 @@ def grouped(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "d
     found = materialized(found.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))), "sets")
     rows = found.select("doc_id", "key", "n", "cid")
     by = found.filter("n > 0").groupBy("cid", "n", "h1", "h2")
-    classes = by.agg(F.min("key").alias("rep"), F.first("tokens").alias("tokens"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    classes = by.agg(F.min("key").alias("rep"), F.first("tokens").alias("tokens"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"))
     classes = materialized(classes, "classes")
+    rows = materialized(rows, "rows")
+    discard(found)  # the sets are with their classes now
 
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.lit(per_cent) * F.col("n") / 100) + 1).cast("int"))
     sizes = {r["n"]: r["k"] for r in classes.filter(F.col("n") <= LIGHTEST).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     total = classes.select(F.explode(prefix).alias("t")).agg(F.count(F.lit(1)), F.approx_count_distinct("t")).first()
     most_light = boundary(sizes, total[0] / max(total[1], 1), per_cent)
 
-    postings = classes.filter(F.col("n") >= kept(most_light + 1, per_cent)).select(F.explode(prefix).alias("token"), "cid", "n", "s0", "s1")
+    heavier = classes.filter(F.col("n") >= kept(most_light + 1, per_cent))
+    few = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + 1
+    postings = heavier.select(F.posexplode(prefix).alias("at", "token"), "cid", "n", F.col("narrow").alias("sketch"), few.alias("few"))
+    postings = postings.withColumn("first", F.col("at") < F.col("few")).drop("at", "few")
     longer = materialized(long_lists(postings), "long")
     blocks = F.coalesce("blocks", F.lit(1))
     part = F.pmod(F.xxhash64("cid"), blocks).cast("int")
@@ -287,7 +339,7 @@ def grouped(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "d
 
     def dealt(rows_: DataFrame, how: str) -> DataFrame:
         spread = rows_.join(longer, "token", how).withColumn("part", part).select("*", others)
-        return spread.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "n", "s0", "s1", "own")
+        return spread.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "n", "first", "own", "sketch")
 
     pairs = materialized(list_pairs(dealt(postings.withColumn("own", F.col("cid")), "left"), per_cent, most_light, False), "pairs")
     links = verified(pairs, classes, docs, size, per_cent).unionByName(light_links(classes, per_cent, most_light))
@@ -295,10 +347,10 @@ def grouped(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "d
     if longer.limit(1).count():
         joined = materialized(components(links), "first")
         own = postings.join(longer.select("token"), "token").join(joined, F.col("cid") == F.col("node"), "left")
-        own = own.withColumn("own", F.coalesce("component", "cid")).select("token", "cid", "n", "s0", "s1", "own")
-        more = list_pairs(dealt(own, "inner"), per_cent, most_light, True)
-        more = materialized(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        links = links.unionByName(verified(more, classes, docs, size, per_cent))
+        own = own.withColumn("own", F.coalesce("component", "cid")).select("token", "cid", "n", "first", "own")
+        narrow = classes.select("cid", F.col("wide").alias("w")).mapInArrow(_narrowed, "cid long, sketch binary")
+        more = materialized(list_pairs(dealt(own.join(narrow, "cid"), "inner"), per_cent, most_light, True), "more")
+        links = links.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), classes, docs, size, per_cent))
     whole = components(links)
     # a component is named by the least doc_id of its classes
     named = classes.select("cid", "rep").join(whole, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
