@@ -1,10 +1,11 @@
 """Burrows-Wheeler transforms of sets of strings, and their merge by iterative interleave refinement.
 
-Each string ends in a byte END that it doesn't hold, and its rotations are sorted. A shard's transform is the byte before
-each rotation in that order. Shards are merged without comparing rotations again: the interleave, which says for each
-place of the merged order which shard comes next, is sorted stably by the merged transform's bytes; each time this is
-done one more byte of every rotation counts, so after `depth` times rotations stand in the order of their first `depth`
-bytes. Boundaries between neighbours that differ are carried along, so the common prefixes come out as intervals.
+Each string ends in a byte END that it doesn't hold, and its rotations are sorted. A shard's transform is what stands
+before each rotation in that order, two bytes instead of one, which halves the rounds. Shards are merged without comparing
+rotations again: the interleave, which says for each place of the merged order which shard comes next, is sorted stably by
+the merged transform; each time this is done two more bytes of every rotation count, so after `depth` / 2 rounds rotations
+stand in the order of their first `depth` bytes. Boundaries between neighbours that differ are carried along, so the
+common prefixes come out as intervals.
 """
 
 from __future__ import annotations
@@ -15,41 +16,45 @@ END = 0xFF  # no byte of UTF-8
 
 
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(byte before, place in the joint text) of all rotations of strings that differ, in sorted order; by doubling."""
+    """(the two bytes before, place in the joint text) of all rotations of strings that differ, in sorted order; by doubling."""
     text = np.frombuffer(b"".join(s + bytes([END]) for s in strings), np.uint8)
     sizes = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(sizes)
     start, size = np.repeat(ends - sizes, sizes), np.repeat(sizes, sizes)
     at = np.arange(len(text)) - start
-    rank = text.astype(np.int64)
-    step, longest = 1, int(sizes.max())
+    longest = int(sizes.max())
+    # the first seven bytes at once, then twice as many in each round
+    key = np.zeros(len(text), np.int64)
+    for k in range(7):
+        key = key << 8 | text[start + (at + k) % size]
+    step = 7
     while True:
-        key = rank * (len(text) + 256) + rank[start + (at + step) % size]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+        if step >= longest or rank[order[-1]] == len(text) - 1:
+            before = text[start + (at - 2) % size].astype(np.uint16) << 8 | text[start + (at - 1) % size]
+            return before[order], order
+        key = rank * len(text) + rank[start + (at + step) % size]
         step *= 2
-        if step >= longest or rank.max() == len(text) - 1:
-            return text[start + (at - 1) % size][order], order
-        # ranks stay below the factor of the key
 
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, place in the shard's text, interval) of each place of the merged order; rotations are in one interval if
-    their first `depth` bytes are equal."""
-    joint = np.concatenate([b for b, _ in shards])
+    their first `depth` bytes, an even number, are equal."""
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for b, _ in shards])
-    interval = np.zeros(len(joint), np.int32)
-    by_shard = np.arange(len(joint))
-    for _ in range(depth):
-        before = np.empty(len(joint), np.uint8)
-        before[by_shard] = joint
+    interval = np.zeros(len(source), np.int32)
+    befores = [b for b, _ in shards]
+    for _ in range(depth // 2):
+        before = np.empty(len(source), np.uint16)
+        for z, own in enumerate(befores):
+            before[source == z] = own
         order = np.argsort(before, kind="stable")
         source, before, interval = source[order], before[order], interval[order]
         new = (before[1:] != before[:-1]) | (interval[1:] != interval[:-1])
         interval = np.concatenate(([0], np.cumsum(new, dtype=np.int32)))
-        by_shard = np.argsort(source, kind="stable")
-    place = np.empty(len(joint), np.int64)
-    place[by_shard] = np.concatenate([p for _, p in shards])
+    place = np.empty(len(source), np.int64)
+    for z, (_, own) in enumerate(shards):
+        place[source == z] = own
     return source, place, interval

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bwt, shingles
-from tidemark.llm.common import materialized
+from tidemark.llm.common import discard, materialized
 
 LENGTH, GRAM = 50, 20
 PART = 192 << 10  # bytes worked on at once, so that the arrays stay in the cache
-SHARD, SHARDS = 64 << 10, 4
+SHARD, SHARDS = 32 << 10, 4
 LOWEST = -(1 << 63)
 _BYTE = np.random.default_rng(19940510).integers(0, 1 << 63, 256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +149,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = marked.values.to_numpy(zero_copy_only=False).view(np.uint64)
         mark_at = marked.offsets.to_numpy()
         seen: dict[bytes, list] = {}
-        places: list[tuple[bytes, int, int, int, int]] = []
+        places: list[tuple[int, int, int, int, int, int]] = []
         for at, offsets, raw in shingles.parts(batch["text"], PART):
             text, anchor, first, count = runs(offsets, raw)
             edges = np.searchsorted(text, np.arange(len(offsets)))
@@ -163,33 +163,33 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, t, base = int(ids[at + i]), int(ts[at + i]), int(offsets[i])
                 for h, s, n in zip(anchor[hits].view(np.int64).tolist(), first[hits].tolist(), count[hits].tolist(), strict=True):
                     content = data[base + s : base + s + n + LENGTH - 1]
-                    key = xxhash.xxh3_128_digest(content)
-                    places.append((key, doc, t, s, n))
-                    known = seen.get(key)
+                    known = seen.get(content)
                     if known is None:
-                        seen[key] = [h, content, doc, doc]
-                    elif doc < known[2]:
+                        c = xxhash.xxh3_64_intdigest(content)
+                        known = seen[content] = [h, c - (c >> 63 << 64), doc, doc]
+                    places.append((h, known[1], doc, t, s, n))
+                    if doc < known[2]:
                         known[2] = doc
                     elif doc > known[3]:
                         known[3] = doc
-        keys = [p[0] for p in places] + list(seen)
         k, m = len(places), len(seen)
-        columns = list(zip(*places, strict=True)) if places else [()] * 5
+        columns = list(zip(*places, strict=True)) if places else [()] * 6
         made = list(zip(*seen.values(), strict=True)) if seen else [()] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys, pa.binary()),
-                *(pa.array([*columns[i], *[None] * m], pa.int64()) for i in range(1, 5)),
-                pa.array([*[None] * k, *made[0]], pa.int64()),
-                pa.array([*[None] * k, *made[1]], pa.binary()),
-                pa.array([*[None] * k, *made[2]], pa.int64()),
-                pa.array([*[None] * k, *made[3]], pa.int64()),
+                pa.array([*columns[0], *made[0]], pa.int64()),
+                pa.array([*columns[1], *made[1]], pa.int64()),
+                *(pa.array([*columns[i], *[None] * m], kind) for i, kind in enumerate(kinds, 2)),
+                pa.array([*[None] * k, *seen], pa.binary()),
+                *(pa.array([*[None] * k, *made[i]], pa.int64()) for i in (2, 3)),
             ],
-            names=["c", "doc", "t", "start", "n", "h", "content", "lo", "hi"],
+            names=["h", "c", "doc", "t", "start", "n", "content", "lo", "hi"],
         )
 
 
-CONTEXTS = "c binary, doc long, t long, start long, n long, h long, content binary, lo long, hi long"
+#: a run is known by its anchor h and its own hash c, 128 bits together
+CONTEXTS = "h long, c long, doc long, t int, start int, n int, content binary, lo long, hi long"
 
 
 def least_docs(contents: list[bytes], lo: np.ndarray) -> list[np.ndarray]:
@@ -215,68 +215,70 @@ def least_docs(contents: list[bytes], lo: np.ndarray) -> list[np.ndarray]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """c and least (of each string, or of all if there is one) of the runs, which come sorted by anchor."""
-    keys, contents, lo, held = [], [], [], 0
-
-    def out(c: list, least: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["c", "least"])
-
-    def joined() -> pa.RecordBatch:
-        nonlocal keys, contents, lo, held
-        made = out(keys, least_docs(contents, np.array(lo, np.int64)))
-        keys, contents, lo, held = [], [], [], 0
-        return made
-
-    group: list[tuple] = []
-    single_c, single_least = [], []
-
-    def close() -> bool:
-        """Files the group away; whether the shards are full."""
+    """h, c and least (of each string, or of all if there is one) of the runs, which come sorted by anchor and hash."""
+    pending: list[list] = []  # h, c, content, lo of runs to be compared
+    done: list[tuple[int, int, list[int]]] = []
+    held = 0
+    group: list[list] = []
+
+    def out(rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "c", "least"])
+
+    def close() -> None:
+        """Files the runs of an anchor away."""
         nonlocal held, group
         if len(group) == 1:
-            c, _, low, high = group[0]
+            h, c, _, low, high = group[0]
             if low != high:
-                single_c.append(c)
-                single_least.append([low])
+                done.append((h, c, [low]))
         else:
-            for c, content, low, _ in group:
-                keys.append(c)
-                contents.append(content)
-                lo.append(low)
-                held += len(content) + 1
+            pending.extend(g[:4] for g in group)
+            held += sum(len(g[2]) + 1 for g in group)
         group = []
-        return held >= SHARD * SHARDS
 
-    last = None
+    def compared() -> list:
+        nonlocal pending, held
+        least = least_docs([p[2] for p in pending], np.array([p[3] for p in pending], np.int64))
+        rows = [(h, c, x) for (h, c, _, _), x in zip(pending, least, strict=True)]
+        pending, held = [], 0
+        return rows
+
     for batch in batches:
-        for h, *row in zip(*(batch[c].to_pylist() for c in ("h", "c", "content", "lo", "hi")), strict=True):
-            if h != last and group and close():
-                yield joined()
-            last = h
-            group.append(tuple(row))
-        if single_c:
-            yield out(single_c, single_least)
-            single_c, single_least = [], []
+        for row in zip(*(batch[c].to_pylist() for c in ("h", "c", "content", "lo", "hi")), strict=True):
+            if group and row[0] != group[-1][0]:
+                close()
+                if held >= SHARD * SHARDS:
+                    yield out(compared())
+            if group and row[1] == group[-1][1]:  # the same run from another task
+                group[-1][3:] = [min(row[3], group[-1][3]), max(row[4], group[-1][4])]
+            else:
+                group.append(list(row))
+        if done:
+            yield out(done)
+            done = []
     if group:
         close()
-    if contents:
-        yield joined()
-    if single_c:
-        yield out(single_c, single_least)
+    if pending:
+        done += compared()
+    if done:
+        yield out(done)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, doc, hits in zip(batch["text"], batch["doc"].to_pylist(), batch["hits"].to_pylist(), strict=True):
+        for text, hits in zip(batch["text"], batch["hits"].to_pylist(), strict=True):
             raw = (text.as_py() or "").encode()
-            starts = [s + i for s, least in map(dict.values, hits or []) for i, d in enumerate(least) if d < doc]
-            if not starts:
+            spans = [(s + x["a"], s + x["b"]) for s, own in map(dict.values, hits or []) for x in own]
+            if not spans:
                 rows.append((len(raw), 0, 0, sha256(raw).hexdigest()))
                 continue
             change = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(change, np.array(starts), 1)
-            np.add.at(change, np.array(starts) + LENGTH, -1)
+            first, last = np.array(spans).T
+            np.add.at(change, first, 1)
+            np.add.at(change, last + LENGTH, -1)
             gone = np.cumsum(change[:-1]) > 0
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -290,7 +292,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"))
-    rows = rows.withColumn("t", F.xxhash64("text"))
+    # rows with equal doc_ids but other texts are told apart by a hash
+    rows = rows.withColumn("t", F.hash("text"))
 
     anchors = rows.select("doc", "text").mapInArrow(_anchors, "h long, doc long, state byte")
     # what is marked already only passes through, so it is dealt out by document
@@ -299,15 +302,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     by_doc = marks.groupBy("doc").agg(F.collect_list("h").alias("marked"))
     met = rows.join(by_doc, "doc").select("doc", "t", "text", "marked").mapInArrow(_contexts, CONTEXTS)
-    met = materialized(met, "contexts")
-
-    found = met.filter("content IS NOT NULL").groupBy("c").agg(F.first("h").alias("h"), F.first("content").alias("content"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    sorted_runs = found.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "content", "lo", "hi")
-    least = materialized(sorted_runs.mapInArrow(_merged, "c binary, least array<long>"), "least")
-
-    places = met.filter("content IS NULL").select("c", "doc", "t", "start", "n").join(least, "c")
-    whole = F.when(F.size("least") == 1, F.array_repeat(F.element_at("least", 1), F.col("n").cast("int"))).otherwise(F.col("least"))
-    hits = places.withColumn("least", whole).filter(F.exists("least", lambda d: d < F.col("doc")))
-    by_row = hits.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "least")).alias("hits"))
-    out = rows.join(by_row, ["doc", "t"], "left").select("doc_id", "doc", "text", "hits")
+    # neighbouring runs overlap, so they take little room when compressed well
+    met = materialized(met, "contexts", "zstd")
+    discard(marks)
+
+    found = met.filter("content IS NOT NULL").select("h", "c", "content", "lo", "hi")
+    least = materialized(found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_merged, "h long, c long, least array<long>"), "least")
+
+    places = met.filter("content IS NULL").select("h", "c", "doc", "t", "start", "n").join(least, ["h", "c"])
+
+    def gone(i):
+        return F.coalesce(F.get("least", i) < F.col("doc"), F.lit(False))
+
+    index = F.sequence(F.lit(0), F.size("least") - 1)
+    begins = F.filter(index, lambda i: gone(i) & ~gone(i - 1))
+    ends = F.filter(index, lambda i: gone(i) & ~gone(i + 1))
+    spans = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
+    spans = F.when(F.size("least") > 1, spans).when(gone(F.lit(0)), F.when(F.col("n") > 1, whole).otherwise(spans))
+    hits = places.select("doc", "t", "start", spans.alias("spans")).filter("size(spans) > 0")
+    hits = materialized(hits.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "spans")).alias("hits")), "hits", "zstd")
+    discard(met)
+    discard(least)
+    out = rows.join(hits, ["doc", "t"], "left").select("doc_id", "text", "hits")
     return out.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
