@@ -206,3 +206,60 @@ def alpha_signal(lower: Column, upper: Column, mu: Column) -> dict[str, Column]:
     """width, strength, tradeable, direction of a return interval."""
     width = upper - lower
     return {"width": width, "strength": F.coalesce(F.try_divide(2 * F.abs(mu), width), F.lit(0.0)), "tradeable": (lower > 0) | (upper < 0), "direction": F.when(lower > 0, 1).when(upper < 0, -1).otherwise(0)}
+
+
+def regularized_aps(probs: Column, true: Column, weight: float = 0.01, free: int = 5) -> Column:
+    """APS score plus a weight for every rank beyond the free ones."""
+    own = F.get(probs, true)
+    rank = F.size(F.filter(probs, lambda p: p > own)) + 1
+    return aps(probs, true) + weight * F.greatest(rank - free, F.lit(0))
+
+
+def top_k(calibration: DataFrame, alpha: float, probs: str = "probs", true: str = "label") -> DataFrame:
+    """k, coverage: the least k whose k best classes hold the true one often enough."""
+    rank = F.size(F.filter(probs, lambda p: p > F.get(probs, F.col(true)))) + 1
+    counts = calibration.select(rank.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(F.lit(0))  # a row for each class
+    out = counts.withColumn("coverage", F.sum("c").over(w.orderBy("k")) / F.sum("c").over(w))
+    return out.filter(F.col("coverage") >= 1 - alpha).orderBy("k").limit(1).select("k", "coverage")
+
+
+def calibration_error(rows: DataFrame, score: str = "score", n: int = 10) -> DataFrame:
+    """Mean distance between expected and found coverage over a grid of levels; rows hold the level at which each
+    observation would just be covered."""
+    grid = [i / (n + 1) for i in range(1, n + 1)]
+    found = rows.agg(*(F.avg((F.col(score) <= g).cast("double")).alias(f"c{i}") for i, g in enumerate(grid)))
+    total = F.lit(0.0)
+    for i, g in enumerate(grid):
+        total = total + F.abs(F.col(f"c{i}") - g)
+    return found.select((total / n).alias("calibration_error"))
+
+
+def weighted_quantile(scores: DataFrame, by: str, at: list[str], alpha: float = 0.1, decay: float = 0.99, most: int = 500, score: str = "score") -> DataFrame:
+    """by, q, n_eff: the least score at which decayed weights of the last `most` scores add up to 1 - alpha."""
+    w = Window.partitionBy(by)
+    age = F.row_number().over(w.orderBy(*(F.desc(c) for c in at))) - 1
+    rows = scores.withColumn("_a", age).filter(F.col("_a") < most).withColumn("_w", F.pow(F.lit(decay), F.col("_a")))
+    rows = rows.withColumn("_u", F.sum("_w").over(w.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(w))
+    out = rows.groupBy(by).agg(F.min(F.when(F.col("_u") >= 1 - alpha - 1e-12, F.col(score))).alias("q"), (F.pow(F.sum("_w"), F.lit(2.0)) / F.sum(F.col("_w") * F.col("_w"))).alias("n_eff"))
+    return out
+
+
+def fold_plus(residuals: DataFrame, predictions: DataFrame, alpha: float) -> DataFrame:
+    """CV+ (jackknife+ with a fold for each row): residuals (fold, r) out of fold, predictions (id, fold, pred) of each
+    fold's model; lower and upper are order statistics of pred -+ r over all residuals. The residual table is counted
+    and has to be small enough to meet every row, as the method asks."""
+    if residuals.limit(100_001).count() > 100_000:
+        raise ValueError("CV+ needs at most 100,000 residuals; use split intervals")
+    both = predictions.join(F.broadcast(residuals), "fold")
+    held = both.groupBy("id").agg(F.array_sort(F.collect_list(F.col("pred") - F.col("r"))).alias("_l"), F.array_sort(F.collect_list(F.col("pred") + F.col("r"))).alias("_u"))
+    n = F.size("_l")
+    lo = F.greatest(F.floor((n + 1) * F.lit(alpha) + 1e-9), F.lit(1)).cast("int")
+    hi = F.least(F.ceil((n + 1) * F.lit(1 - alpha) - 1e-9), n).cast("int")
+    return held.select("id", F.get("_l", lo - 1).alias("lower"), F.get("_u", hi - 1).alias("upper"))
+
+
+def block_maxima(scores: DataFrame, by: str, at: list[str], size: int, score: str = "score") -> DataFrame:
+    """by, block, score: the greatest score of each run of `size` rows; the calibration scores of block intervals."""
+    place = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*at)) - 1) / size)
+    return scores.withColumn("block", place).groupBy(by, "block").agg(F.max(score).alias(score))

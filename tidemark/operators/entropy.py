@@ -179,3 +179,44 @@ def recursive_cusum(rows: DataFrame, by: str, pos: str, value: str, first: int =
     rows = rows.withColumns({"_k": F.count(value).over(before), "_m": F.avg(value).over(before), "_s": F.stddev_samp(value).over(before)})
     z = F.when((F.col("_k") >= first) & (F.col("_s") > 0), (F.col(value) - F.col("_m")) / (F.col("_s") * F.sqrt(1 + 1 / F.col("_k"))))
     return rows.withColumn("_z", z).select(by, pos, F.sum("_z").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cusum"))
+
+
+def encode_sigma(rows: DataFrame, by: str, at: list[str], value: str, n_bins: int = 5, window: int = 100, least: int = 50) -> DataFrame:
+    """rows with `symbol`: the bin of the z-score against the rows before; bins have equal width from -2 to 2."""
+    before = Window.partitionBy(by).orderBy(*at).rowsBetween(-window, -1)
+    z = F.try_divide(F.col(value) - F.avg(value).over(before), F.stddev_samp(value).over(before))
+    place = F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), F.floor((z + 2) / 4 * n_bins)))
+    return rows.withColumn("symbol", F.when(F.count(value).over(before) >= least, place.cast("string")))
+
+
+def encode_quantile_causal(rows: DataFrame, by: str, at: list[str], value: str, n_bins: int = 10, least: int = 50, window: int | None = None) -> DataFrame:
+    """rows with `symbol`: the quantile bin among earlier values only (all, or the last `window`), once there are enough."""
+    w = Window.partitionBy(by).orderBy(*at)
+    held = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding if window is None else -window, -1))
+    rows = rows.withColumn("_h", held)
+    below = F.size(F.filter("_h", lambda x: x < F.col(value)))
+    place = F.least(F.floor(below * n_bins / F.size("_h")), F.lit(n_bins - 1))
+    return rows.withColumn("symbol", F.when((F.size("_h") >= least) & F.col(value).isNotNull(), place.cast("string"))).drop("_h")
+
+
+def entropy_regime(rows: DataFrame, by: str, low: float = 0.3, high: float = 0.7, value: str = "entropy") -> DataFrame:
+    """rows with `regime` by the entropy's place between the group's extremes. Looks at the whole sample."""
+    w = Window.partitionBy(by)
+    x = F.try_divide(F.col(value) - F.min(value).over(w), F.max(value).over(w) - F.min(value).over(w))
+    return rows.withColumn("_x", x).withColumn("regime", F.when(F.col("_x") < low, "mean_revert").when(F.col("_x") > high, "random").when(F.col("_x").isNotNull(), "trending")).drop("_x")
+
+
+def critical_values(n: int, p: int = 1, n_sim: int = 200, quantiles: tuple[float, ...] = (0.9, 0.95, 0.99), seed: int = 0, sup: bool = True, spark=None) -> DataFrame:
+    """quantile, value: of the (double) sup ADF statistic of random walks of length n; a path for each seeded row."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i in pdf["id"].tolist():
+                y = np.cumsum(np.random.default_rng([seed, i]).normal(size=n))
+                out.append(float(np.nanmax(kernels.bsadf(y, p, starts=None if sup else 1))))
+            yield pd.DataFrame({"stat": out})
+
+    stats = spark.range(n_sim).repartition(max(1, n_sim // 25)).mapInPandas(run, "stat double")
+    found = stats.agg(F.percentile("stat", list(quantiles)).alias("v"))
+    return found.select(F.posexplode("v").alias("i", "value")).select(F.get(F.lit(list(quantiles)), F.col("i")).alias("quantile"), "value")

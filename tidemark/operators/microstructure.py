@@ -158,3 +158,19 @@ def deseasonalize(rows: DataFrame, by: str, bucket: str, value: str, at: list[st
 
     out = rows.withColumns({"_b": median_before(Window.partitionBy(by, bucket)), "_a": median_before(Window.partitionBy(by))})
     return out.withColumn("multiplier", F.try_divide("_b", "_a")).drop("_b", "_a")
+
+
+def vpin_bulk(ticks: DataFrame, bucket: float, n_buckets: int = 50, least: int = 10) -> DataFrame:
+    """Volume buckets classified in bulk: buy share from the bucket's price change over its expanding deviation, imbalance
+    |2 share - 1|, and the rolling mean of n_buckets; a deviation that is missing or 0 counts as a share of one half."""
+    so_far = order().rowsBetween(Window.unboundedPreceding, 0)
+    rows = ticks.withColumn("_cum", F.sum("size").over(so_far)).withColumn("bucket", F.floor((F.col("_cum") - F.col("size")) / bucket))
+    closes = rows.groupBy("instrument", "bucket").agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("size").alias("volume"), F.max("ts").alias("ts"))
+    w = Window.partitionBy("instrument").orderBy("bucket")
+    out = closes.withColumn("_d", F.col("close") - F.lag("close").over(w))
+    grown = w.rowsBetween(Window.unboundedPreceding, 0)
+    sd = F.when(F.count("_d").over(grown) >= least, F.stddev_samp("_d").over(grown))
+    share = F.coalesce(special.norm_cdf(F.try_divide(F.col("_d"), F.col("_sd"))), F.lit(0.5))
+    out = out.withColumn("_sd", sd).withColumn("imbalance", F.abs(2 * share - 1))
+    last = w.rowsBetween(-(n_buckets - 1), 0)
+    return out.withColumn("vpin", F.when(F.count(F.lit(1)).over(last) == n_buckets, F.avg("imbalance").over(last))).drop("_d", "_sd")

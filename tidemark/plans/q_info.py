@@ -106,3 +106,18 @@ e AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY pos) AS ep FRO
 SELECT instrument, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) AS INTEGER) AS "end", max(price) AS peak, count(*) AS duration FROM e WHERE up = 1 GROUP BY instrument, ep HAVING count(*) >= 2""")
 def brk_episodes(spark, sf_dir):
     return en.episodes(_series(spark, sf_dir), "instrument", 60.0, value="price")
+
+
+@query("info_regime", f"""WITH {SYMBOL_SQL}, p AS (SELECT instrument, pos, count(*) OVER w AS n, avg(CASE WHEN symbol = '1' THEN 1.0 ELSE 0.0 END) OVER w AS p FROM sym WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+h AS (SELECT instrument, pos, CASE WHEN n = 10 THEN round(CASE WHEN p IN (0, 1) THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2) END, 9) END AS h FROM p),
+x AS (SELECT instrument, pos, (h - min(h) OVER (PARTITION BY instrument)) / nullif(max(h) OVER (PARTITION BY instrument) - min(h) OVER (PARTITION BY instrument), 0) AS x FROM h)
+SELECT instrument, CAST(pos AS INTEGER) AS pos, CASE WHEN x < 0.3 THEN 'mean_revert' WHEN x > 0.7 THEN 'random' WHEN x IS NOT NULL THEN 'trending' END AS regime FROM x""")
+def info_regime(spark, sf_dir):
+    out = en.rolling_entropy(_symbols(spark, sf_dir), "instrument", ["pos"], "symbol", 10).withColumn("entropy", F.round(F.col("entropy") + 0.0, 9))
+    return en.entropy_regime(out, "instrument").select("instrument", "pos", "regime")
+
+
+@query("info_causal_symbols", f"""WITH {SERIES_SQL}, h AS (SELECT *, list(price) OVER (PARTITION BY instrument ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM series)
+SELECT instrument, CAST(pos AS INTEGER) AS pos, CASE WHEN len(h) >= 20 THEN CAST(least(len(list_filter(h, lambda x: x < price)) * 4 // len(h), 3) AS VARCHAR) END AS symbol FROM h""")
+def info_causal_symbols(spark, sf_dir):
+    return en.encode_quantile_causal(_series(spark, sf_dir), "instrument", ["pos"], "price", 4, 20).select("instrument", "pos", "symbol")

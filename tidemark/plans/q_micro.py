@@ -132,3 +132,8 @@ SELECT instrument, seq, round(median(price) OVER (PARTITION BY instrument, bucke
 def micro_deseasonalize(spark, sf_dir):
     rows = _ticks(spark, sf_dir).withColumn("bucket", F.floor(F.hour("ts") / 8))
     return rounded(ms.deseasonalize(rows, "instrument", "bucket", "price", ["ts", "seq"]).select("instrument", "seq", "multiplier"))
+
+
+@query("micro_vpin_bulk")
+def micro_vpin_bulk(spark, sf_dir):
+    return rounded(ms.vpin_bulk(_ticks(spark, sf_dir), 200.0, 3, 3))
