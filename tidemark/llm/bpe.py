@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: the pattern of the byte-level pre-tokenizer, a fixed value
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 250_000
+CACHE = 100_000
 FOREVER = 1 << 60
 
 
