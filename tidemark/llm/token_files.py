@@ -14,8 +14,8 @@ and `payload`. All numbers in a payload are little-endian:
   d x i64 doc_id, d x u8 whether doc_id is null, (d + 1) x u32 symbol offset, d x u32 ids of the document
   s x symbol                  u16 if all symbols fit, else u32
 
-A words' ids are those the tokenizers library gives it; single spaces and newlines always part pre-tokens of a
-white-space-dropping vocabulary, so words between them are looked up in a bounded cache and only new ones tokenized.
+A word's ids are those the tokenizers library gives it; single spaces and newlines always part pre-tokens of a
+white-space-dropping vocabulary, so words between them are looked up in a bounded cache of two generations and only new ones tokenized, many in a call.
 
 Null text counts as an empty one, and a document always ends with the end id. Null ids come first; documents with equal
 ids are ordered by the hash of the text, and repeated rows are written each for itself. Empty tables give files without
@@ -24,6 +24,7 @@ blocks. Only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,8 @@ ROUNDS = 4
 RULES_A_ROUND = 4000
 LEAST_COUNT = 8
 CELLS = 1 << 20
-CACHE = 300_000
+MARKS = ".,;:!?|%$&#*"
+CACHE = 400_000
 BLOCKS = "task int, start_in_task long, n_docs int, n_tokens long, payload binary"
 
 
@@ -58,14 +60,55 @@ class Words:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        rules = json.loads(spec)
+        steps = (rules.get("normalizer") or {}).get("normalizers", [])
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        # lower-casing, and letters apart from marks
+        self.lowers = any(x["type"] == "Lowercase" for x in steps) and any(r"|[^\s\p{L}\p{N}]+" in str(x.get("pattern", {}).get("Regex")) for x in splits)
+        self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, None))
+
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        """Ids of words, in one call: a special token stands between them, so their pre-tokens never meet."""
+        plain = [w for w in words if self.mark is not None and "<" not in w]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
+                found.update((w, raw[i:j]) for w, i, j in zip(part, starts, ends, strict=True))
+        rest = [w for w in words if w not in found]
+        found.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [found[w] for w in words]
+
+    def parts(self, word: str) -> tuple[str, ...]:
+        """Pieces whose ids make up those of the word."""
+        if not self.lowers or not word.isascii():
+            return (word,)
+        core = word.rstrip(MARKS)
+        if core and len(core) < len(word) and core[-1].isalnum():
+            return core.lower(), word[len(core) :]
+        return (word.lower(),)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(new, found, strict=True))
+            self.older, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        kept = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in kept)
+        new = missing - kept
+        # marks behind a word are pre-tokens of their own, and ASCII case makes no difference: most new words are old cores
+        parted = {w: self.parts(w) for w in new}
+        need = {p for parts in parted.values() for p in parts}
+        core = {p: i for p in need if (i := self.known.get(p) or self.older.get(p)) is not None}
+        fresh = list(need - core.keys())
+        core.update(zip(fresh, self.encode_new(fresh), strict=True))
+        self.known.update(core)
+        self.known.update((w, b"".join([core[p] for p in parts])) for w, parts in parted.items())
         ids = self.known.__getitem__
         return [np.frombuffer(b"".join(map(ids, words)), np.int32) for words in split]
 
