@@ -2,6 +2,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bwt, repeats
@@ -84,3 +85,61 @@ def test_merge_gives_sorted_rotations_and_intervals(shards):
     rows = [rotation(z, p) for z, p in zip(source.tolist(), place.tolist(), strict=True)]
     assert rows == sorted(rows)
     assert np.array_equal(interval, np.cumsum([0] + [a != b for a, b in zip(rows, rows[1:], strict=False)]))
+
+
+def hot(n, seed=5):
+    """Texts of n different contexts in all around one piece of 20 bytes, whose hash is so low that it is their anchor."""
+    rnd = random.Random(seed)
+    raw = np.frombuffer(rnd.randbytes(1 << 20), np.uint8) % 26 + 97
+    at = int(repeats.gram_hashes(raw).argmin())
+    piece = raw[at : at + 20].tobytes().decode()
+    half = ["".join(rnd.choices("abcdefgh", k=30)) for _ in range(n)]
+    return [(i, half[i] + piece + half[(7 * i + 3) % n], 1, "x", 1) for i in range(n)] + [(n + i, half[i] + piece + half[(5 * i + 1) % n], 1, "x", 1) for i in range(0, n, 9)]
+
+
+def merged(rows, large):
+    """The runs of all texts, and what _merged makes of them."""
+    texts = [r[1].encode() for r in rows]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    found = sorted((int(np.uint64(h).view(np.int64)), hash(texts[k][s : s + n + 49]), texts[k][s : s + n + 49], rows[k][0], rows[k][0]) for k, h, s, n in zip(*repeats.runs(offsets, raw), strict=True))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[a : a + 500], strict=True), kinds, strict=True)], names=["h", "c", "content", "lo", "hi"]) for a in range(0, len(found), 500)]
+    out = [r for b in repeats._merged(iter(batches), large) for r in b.to_pylist()]
+    return found, out
+
+
+def test_one_anchor_of_more_than_256_shards(monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", 200)
+    found, out = merged(hot(1200), 1 << 30)
+    sizes = {}
+    for h, _, content, *_ in found:
+        sizes[h] = sizes.get(h, 0) + len(content) + 1
+    assert max(sizes.values()) > 256 * 281
+    first, content = {}, {}
+    for h, c, x, low, _ in found:
+        content[h, c] = x
+        for i in range(len(x) - 49):
+            first[x[i : i + 50]] = min(first.get(x[i : i + 50], 1 << 63), low)
+    several = [r for r in out if len(r["least"]) > 1]
+    assert len(several) >= 1200
+    for r in several:
+        x = content[r["h"], r["c"]]
+        assert r["least"] == [first[x[i : i + 50]] for i in range(len(x) - 49)]
+
+
+def test_runs_of_a_large_anchor_pass_through_once():
+    found, out = merged(hot(1200), 5000)
+    passed = [r for r in out if r["least"] is None]
+    assert len(passed) > 1200 and len({(r["h"], r["c"]) for r in passed}) == len(passed)
+    low = {}
+    for h, c, _, lo, _ in found:
+        low[h, c] = min(lo, low.get((h, c), lo))
+    assert all(r["lo"] == low[r["h"], r["c"]] for r in passed)
+
+
+@pytest.mark.parametrize("large", [0, 5000])
+def test_divided_anchors_same_as_brute_force(spark, large):
+    rows = hot(300) + [(1000 + (r[0] or 0), *r[1:]) if r[0] is not None else r for r in made(3, 40)]
+    got = repeats.dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), large=large).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute(rows)

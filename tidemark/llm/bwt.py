@@ -43,7 +43,7 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, place in the shard's text, interval) of each place of the merged order; rotations are in one interval if
     their first `depth` bytes, an even number, are equal."""
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for b, _ in shards])
+    source = np.repeat(np.arange(len(shards), dtype=np.min_scalar_type(len(shards))), [len(b) for b, _ in shards])
     interval = np.zeros(len(source), np.int32)
     befores = [b for b, _ in shards]
     for _ in range(depth // 2):

@@ -11,9 +11,11 @@ string can only repeat if its anchor occurs in two documents.
 3. Transforms: runs are dealt out by anchor. An anchor with one run needs no comparison. The others' runs are cut into
    shards, each shard is transformed and the transforms are merged up to LENGTH bytes (see bwt); an interval of the
    merged order holds all equal strings, and the least doc_id of its runs is theirs.
+   An anchor whose runs take more than LARGE bytes isn't held: its runs are cut into their strings, which are grouped by
+   themselves over all tasks.
 4. Every document looks up the least doc_ids of its runs' strings, and the bytes covered by those with a smaller one go.
 
-Each task holds a shard at a time, besides the runs of one anchor. Null texts count as empty, null doc_ids as smaller
+Each task holds some shards at a time, besides up to LARGE bytes of runs of one anchor. Null texts count as empty, null doc_ids as smaller
 than all others. Rows with equal doc_ids never repeat each other. Repeated rows get a row each. Empty tables give empty
 results. Only the id and text columns are read.
 """
@@ -21,6 +23,7 @@ results. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import sha256
 
 import numpy as np
@@ -35,6 +38,7 @@ from tidemark.llm.common import discard, materialized
 LENGTH, GRAM = 50, 20
 PART = 192 << 10  # bytes worked on at once, so that the arrays stay in the cache
 SHARD, SHARDS = 32 << 10, 4
+LARGE = 1 << 20  # bytes of the runs of one anchor that a task compares by itself
 LOWEST = -(1 << 63)
 _BYTE = np.random.default_rng(19940510).integers(0, 1 << 63, 256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -214,34 +218,44 @@ def least_docs(contents: list[bytes], lo: np.ndarray) -> list[np.ndarray]:
     return [by_place[b : b + n - LENGTH] for b, n in zip(base.tolist(), sizes.tolist(), strict=True)]
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, c and least (of each string, or of all if there is one) of the runs, which come sorted by anchor and hash."""
+#: least (of each string, or of all if there is one) of a run, or content and lo of one whose anchor is too large
+MERGED = "h long, c long, least array<long>, content binary, lo long"
+
+
+def _merged(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
+    """The runs, which come sorted by anchor and hash, as MERGED."""
     pending: list[list] = []  # h, c, content, lo of runs to be compared
-    done: list[tuple[int, int, list[int]]] = []
+    done: list[tuple] = []
     held = 0
     group: list[list] = []
+    size, divided = 0, False  # bytes of the group; whether its anchor is too large
 
     def out(rows: list) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "c", "least"])
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "c", "least", "content", "lo"])
+
+    def passed(rows: list[list]) -> None:
+        done.extend((h, c, None, content, low) for h, c, content, low, _ in rows)
 
     def close() -> None:
         """Files the runs of an anchor away."""
-        nonlocal held, group
-        if len(group) == 1:
+        nonlocal held, group, size, divided
+        if divided:
+            passed(group)
+        elif len(group) == 1:
             h, c, _, low, high = group[0]
             if low != high:
-                done.append((h, c, [low]))
+                done.append((h, c, [low], None, None))
         else:
             pending.extend(g[:4] for g in group)
-            held += sum(len(g[2]) + 1 for g in group)
-        group = []
+            held += size
+        group, size, divided = [], 0, False
 
     def compared() -> list:
         nonlocal pending, held
         least = least_docs([p[2] for p in pending], np.array([p[3] for p in pending], np.int64))
-        rows = [(h, c, x) for (h, c, _, _), x in zip(pending, least, strict=True)]
+        rows = [(h, c, x, None, None) for (h, c, _, _), x in zip(pending, least, strict=True)]
         pending, held = [], 0
         return rows
 
@@ -253,8 +267,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out(compared())
             if group and row[1] == group[-1][1]:  # the same run from another task
                 group[-1][3:] = [min(row[3], group[-1][3]), max(row[4], group[-1][4])]
-            else:
-                group.append(list(row))
+                continue
+            if group and (divided or size > large):
+                passed(group)
+                group, divided = [], True
+            group.append(list(row))
+            size += len(row[2]) + 1
         if done:
             yield out(done)
             done = []
@@ -266,6 +284,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(done)
 
 
+def by_string(runs_: DataFrame) -> DataFrame:
+    """h, c, least of runs (h, c, content, lo), for anchors of any size: the strings are grouped by themselves."""
+    starts = F.sequence(F.lit(1), F.length("content") - (LENGTH - 1))
+    strings = runs_.select("h", "c", "lo", F.posexplode(F.transform(starts, lambda i: F.substring("content", i, F.lit(LENGTH)))).alias("i", "s"))
+    least = strings.groupBy("s").agg(F.min("lo").alias("least"))
+    own = strings.join(least, "s").groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("own"))
+    return own.select("h", "c", F.col("own.least").alias("least"))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -288,7 +315,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"))
@@ -307,7 +334,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     discard(marks)
 
     found = met.filter("content IS NOT NULL").select("h", "c", "content", "lo", "hi")
-    least = materialized(found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_merged, "h long, c long, least array<long>"), "least")
+    merged = materialized(found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(partial(_merged, large=large), MERGED), "least")
+    least, rest = merged.filter("content IS NULL").select("h", "c", "least"), merged.filter("content IS NOT NULL").drop("least")
+    if rest.limit(1).count():
+        least = least.unionByName(materialized(by_string(rest), "divided"))
 
     places = met.filter("content IS NULL").select("h", "c", "doc", "t", "start", "n").join(least, ["h", "c"])
 
