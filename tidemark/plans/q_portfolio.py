@@ -11,17 +11,19 @@ from tidemark.plans.q_bars import SIGNED_SQL
 from tidemark.plans.q_research import _returns, rounded
 from tidemark.plans.registry import query, table
 
-N_ASSETS = 16
+N_ASSETS = 16  # of the queries with a SQL twin; the others take every component
 X_SQL = f"x AS (SELECT vec_id AS t, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({N_ASSETS}) r(i))"
 
 
-def _matrix(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode(F.slice("embedding", 1, N_ASSETS)).alias("i", "x"))
+def _matrix(spark, sf_dir, n_assets=None):
+    """t, i, x: the first n_assets components of every embedding, or all of them."""
+    held = F.col("embedding") if n_assets is None else F.slice("embedding", 1, n_assets)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode(held).alias("i", "x"))
     return rows.select("t", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-def _cov(spark, sf_dir):
-    return pf.covariance(_matrix(spark, sf_dir))
+def _cov(spark, sf_dir, n_assets=None):
+    return pf.covariance(_matrix(spark, sf_dir, n_assets))
 
 
 COV_SQL = X_SQL + ", cov AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS value FROM x a JOIN x b USING (t) GROUP BY 1, 2)"
@@ -29,7 +31,7 @@ COV_SQL = X_SQL + ", cov AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS value
 
 @query("cov_sample", f"WITH {COV_SQL} SELECT i, j, round(value, 6) + 0 AS value FROM cov")
 def cov_sample(spark, sf_dir):
-    return rounded(_cov(spark, sf_dir))
+    return rounded(_cov(spark, sf_dir, N_ASSETS))
 
 
 @query("cov_lw", f"""WITH {X_SQL}, c AS (SELECT t, i, x - avg(x) OVER (PARTITION BY i) AS x FROM x), s AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / count(*) AS v FROM c a JOIN c b USING (t) GROUP BY 1, 2),
@@ -37,7 +39,7 @@ k AS (SELECT sum(q * q) AS s4, count(*) AS n FROM (SELECT t, sum(x * x) AS q FRO
 d AS (SELECT mu, (f - {N_ASSETS} * mu * mu) / {N_ASSETS} AS d2, (s4 / n - f) / (n * {N_ASSETS}) AS b2 FROM m, k), e AS (SELECT mu, least(b2, d2) / d2 AS delta FROM d)
 SELECT s.i, s.j, round(delta * CASE WHEN i = j THEN mu ELSE 0 END + (1 - delta) * v, 6) + 0 AS value, round(delta, 6) AS delta FROM s, e""")
 def cov_lw(spark, sf_dir):
-    return rounded(pf.ledoit_wolf(_matrix(spark, sf_dir)))
+    return rounded(pf.ledoit_wolf(_matrix(spark, sf_dir, N_ASSETS)))
 
 
 @query("cov_rmt")
