@@ -27,3 +27,18 @@ def test_hrp_weights_of_all_components(spark, tmp_path):
     cov = embeddings(spark, tmp_path, 60)
     got = {r["i"]: r["weight"] for r in registry.queries()["pf_hrp"](spark, str(tmp_path)).collect()}
     assert np.allclose([got[i] for i in range(20)], pf.hrp_weights(cov), atol=1e-5)
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_rmt_takes_the_observations_of_its_table(spark, tmp_path, n):
+    cov = embeddings(spark, tmp_path, n)
+    corr, sd = pf.correlation(cov)
+    values, vectors = np.linalg.eigh(corr)
+    q = 20 / n
+    noise = values <= pf.mp_edge(q, pf.fit_sigma2(values, q))
+    values[noise] = values[noise].mean()
+    want = pf._rebuilt(values, vectors, sd)
+    got = np.zeros((20, 20))
+    for r in registry.queries()["cov_rmt"](spark, str(tmp_path)).collect():
+        got[r["i"], r["j"]] = r["value"]
+    assert np.allclose(got, want, atol=1e-5)

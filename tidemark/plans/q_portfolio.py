@@ -44,7 +44,9 @@ def cov_lw(spark, sf_dir):
 
 @query("cov_rmt")
 def cov_rmt(spark, sf_dir):
-    return rounded(pf.denoised(_cov(spark, sf_dir), 500))
+    rows = _matrix(spark, sf_dir)
+    n_obs = rows.agg(F.count_distinct("t")).first()[0]
+    return rounded(pf.denoised(pf.covariance(rows), n_obs))
 
 
 @query("cov_detone")
