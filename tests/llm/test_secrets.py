@@ -50,5 +50,22 @@ def test_redaction_takes_live_values_only(spark):
     assert len(got) == len(ROWS) - 2
 
 
+def test_redaction_of_null_and_repeated_ids(spark):
+    other = "9f8e7d6c5b4a39281706f5e4"
+    rows = [
+        (None, f"token = {LIVE} end", "a", 1, "x"),
+        (None, f"token = {LIVE} end", "a", 1, "x"),
+        (None, None, "a", 1, "x"),
+        (1, f"a longer start, token = {other}", "b", 1, "x"),
+        (1, f"token = {LIVE} end", "b", 1, "x"),
+        (1, f"token = {LIVE} end", "b", 1, "x"),
+        (1, "nothing", "b", 1, "x"),
+        (2, f"token = {LIVE} end", "b", 1, "x"),
+    ]
+    got = [(r["doc_id"], r["text"]) for r in secrets.redact(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(r[0], r[1] and r[1].replace(LIVE, "[SECRET]").replace(other, "[SECRET]")) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialized
@@ -66,7 +66,7 @@ def joined(spans) -> str:
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("v0", pa.int32()), ("v1", pa.int32()), ("hash", pa.int64())])
 SCHEMA = (
-    "doc_id long, repo string, owner string, base_sha256 string, n_assign long, n_access long, n_hex long, "
+    "doc_id long, repo string, owner string, text_key binary, base_sha256 string, n_assign long, n_access long, n_hex long, "
     "found array<struct<start:int,kind:int,end:int,v0:int,v1:int,hash:bigint>>"
 )
 
@@ -80,19 +80,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch["doc_id"],
                 batch["repo"],
                 batch["owner"],
+                batch["text_key"],
                 pa.array([sha256(joined(spans).encode()).hexdigest() for spans in base], pa.string()),
                 *(pa.array([sum(s[1] == kind for s in spans) for spans in base], pa.int64()) for kind in range(BASE)),
                 pa.array([[dict(zip(("start", "kind", "end", "v0", "v1", "hash"), s, strict=True)) for s in spans] for spans in found], pa.list_(SPAN)),
             ],
-            names=["doc_id", "repo", "owner", "base_sha256", "n_assign", "n_access", "n_hex", "found"],
+            names=["doc_id", "repo", "owner", "text_key", "base_sha256", "n_assign", "n_access", "n_hex", "found"],
         )
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+
+
+def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str, keyed: bool) -> DataFrame:
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(repo_col).cast("string").alias("repo"),
         F.col(owner_col).cast("string").alias("owner"),
+        (text_key(text_col) if keyed else F.lit(None).cast("binary")).alias("text_key"),
         F.col(text_col).alias("text"),
     )
     found = rows.mapInArrow(_scan, SCHEMA).withColumn("row_id", F.monotonically_increasing_id())
@@ -115,10 +121,11 @@ def scan(
     repo_col: str = "doc_id",
     owner_col: str = "source",
     example_owners: int = 3,
+    keyed: bool = False,
 ) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, live
-    (spans of live values, array of start and end)."""
-    found = scanned(docs, id_col, text_col, repo_col, owner_col)
+    (spans of live values, array of start and end), and text_key, a hash of the text, if `keyed`."""
+    found = scanned(docs, id_col, text_col, repo_col, owner_col, keyed)
     values = found.select("row_id", F.explode("found").alias("s")).filter("s.hash <> 0")
     values = values.select("row_id", "s.v0", "s.v1", F.col("s.hash").alias("hash")).distinct()
     judged = values.join(ownership(found), "hash").withColumn("example", F.col("n_owners") >= example_owners)
@@ -142,14 +149,17 @@ def scan(
         F.size(F.coalesce("live", none)).cast("long").alias("n_live"),
         F.coalesce("n_examples", F.lit(0)).alias("n_examples"),
         F.transform(F.sort_array(F.coalesce("live", none)), lambda s: F.struct(s["start"], s["end"])).alias("live"),
+        *(["text_key"] if keyed else []),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs with every live value replaced by `mark` in the text, and n_chars brought up to date if there is one.
-    Documents without a live value come back as they are; doc_id has to tell rows apart."""
-    live = scan(docs, id_col=id_col, text_col=text_col, **options).filter("n_live > 0").select(F.col("doc_id").alias("_id"), "live")
-    out = docs.join(live, F.col(id_col).cast("long") == F.col("_id"), "left")
+    Documents without a live value come back as they are. Every row comes back once, whether its doc_id is null, repeated
+    or its own: live spans follow from the text alone, so they are joined by its hash."""
+    live = scan(docs, id_col=id_col, text_col=text_col, keyed=True, **options).filter("n_live > 0")
+    live = live.groupBy(F.col("text_key").alias("_key")).agg(F.first("live").alias("live"))
+    out = docs.join(live, text_key(text_col) == F.col("_key"), "left")
     text = F.col(text_col)
     # walking the spans from left to right: what stands between them, and a mark for each (overlapping ones share one)
     state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
