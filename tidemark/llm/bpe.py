@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_state
+
 #: the pattern of the byte-level pre-tokenizer, a fixed value
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 100_000
@@ -203,16 +205,9 @@ class Vocabulary:
         return self.blob[places].tobytes()
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def loaded(text: str) -> Vocabulary:
     """The vocabulary of a file's text, built once in a worker."""
-    key = hash(text)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(text)
-    return _LOADED[key]
+    return worker_state(f"bpe {hash(text)}", lambda: Vocabulary(text))
 
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, row, schema: str, types: list[pa.DataType]) -> DataFrame:

@@ -2,45 +2,92 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: files of finished shuffles go at the end of the job, not when the driver's garbage happens to be collected
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder serves a local
+    session (tests); on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialized(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df written once to the shared folder and read from there: lineage ends, and a lost executor loses nothing."""
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time being."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def materialized(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
+    """df written once to the shared folder and read from there: lineage ends, and a lost executor loses nothing. The
+    shuffle files of the job go with its end. `by`: a column that parts the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    # Spark frees the shuffle files of a job once the driver's garbage is collected, which it does too seldom by itself,
-    # and not before its listeners have let go of the job
-    gc.collect()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
+    writer = df.write.option("compression", compression)
+    with setting(spark, CLEANUP, "true"):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tidemark-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            removed(df.sparkSession, folder)
+
+
+_HELD: dict[str, Any] = {}
+
+
+def worker_state(key: str, make: Callable[[], Any] | None = None) -> Any:
+    """What a Python worker keeps from task to task, made when it is first asked for. A worker serves one operator after
+    the other and keeps the state of one: that of any other goes, and its memory goes back to the system."""
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            trimmed()
+        _HELD[key] = make() if make else None
+    return _HELD[key]
+
+
+def trimmed() -> None:
+    """Gives the memory that Python has freed back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
