@@ -65,3 +65,12 @@ def test_empty_table_and_null_id(spark, tmp_path):
     out = str(tmp_path / "null")
     token_files.write_tokens(spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string"), PATH, out)
     assert [(r["doc_id"], r["start"]) for r in sorted(token_files.read_digests(spark, out).collect(), key=lambda r: r["start"])] == [(None, 0), (1, 2)]
+
+
+def test_added_tokens_in_other_spellings(spark):
+    rnd = random.Random(3)
+    words = token_files.Words(open(PATH, encoding="utf-8").read())
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "<", "Ab", "ENDOFTEXT", "x,", "It's", "!?", "9", " ", " ", "\n", "É"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text

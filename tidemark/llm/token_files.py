@@ -35,6 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_state
+
 MAGIC = b"RPB1"
 BLOCK_TOKENS = 1 << 20
 ROUNDS = 4
@@ -66,11 +68,12 @@ class Words:
         splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
         # lower-casing, and letters apart from marks
         self.lowers = any(x["type"] == "Lowercase" for x in steps) and any(r"|[^\s\p{L}\p{N}]+" in str(x.get("pattern", {}).get("Regex")) for x in splits)
+        self.starts = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, None))
 
     def encode_new(self, words: list[str]) -> list[bytes]:
         """Ids of words, in one call: a special token stands between them, so their pre-tokens never meet."""
-        plain = [w for w in words if self.mark is not None and "<" not in w]
+        plain = [w for w in words if self.mark is not None and not any(c in w for c in self.starts)]
         found: dict[str, bytes] = {}
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
@@ -86,7 +89,8 @@ class Words:
 
     def parts(self, word: str) -> tuple[str, ...]:
         """Pieces whose ids make up those of the word."""
-        if not self.lowers or not word.isascii():
+        # a word that holds the beginning of an added token is left as it is: those are found before lower-casing
+        if not self.lowers or not word.isascii() or any(c in word for c in self.starts):
             return (word,)
         core = word.rstrip(MARKS)
         if core and len(core) < len(word) and core[-1].isalnum():
@@ -222,15 +226,8 @@ class Block:
         return self.flat[np.repeat(self.start[held] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
-_WORDS: dict[int, Words] = {}
-
-
 def _words(spec: str) -> Words:
-    key = hash(spec)
-    if key not in _WORDS:
-        _WORDS.clear()
-        _WORDS[key] = Words(spec)
-    return _WORDS[key]
+    return worker_state(f"words {hash(spec)}", lambda: Words(spec))
 
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, out: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
