@@ -45,3 +45,42 @@ def test_no_labels_and_empty_table(spark):
     model = language.fit(docs, F.lit(True))
     assert language.identify(docs, model).collect()[0]["lang_pred"] == language.UND
     assert language.identify(docs.limit(0), model).collect() == []
+
+
+def test_only_letters_make_a_language(spark):
+    rows = [(1, "½ ² ① Ⅷ", "en", "s", "x"), (2, "ª", "en", "s", "x")] + made(30)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.filter("doc_id < 3 AND text IN ('½ ² ① Ⅷ', 'ª')"), language.fit(docs, F.lit(True))).collect()}
+    assert got[1] == language.UND and got[2] != language.UND
+
+
+def test_dictionaries_and_choice_against_plain_compression(spark):
+    import zstandard
+
+    docs = spark.createDataFrame(made(60), SCHEMA)
+    model = language.fit(docs, F.lit(True))
+    for r in language.identify(docs, model).collect():
+        raw = language.folded(r["text"])
+        sizes = {}
+        for lang, content in model.dictionaries.items():
+            level = language.LEVEL
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(dict_data=held, level=level, write_content_size=False, write_dict_id=False).compress(raw))
+        least = sorted(sizes.values())
+        if least[1] - least[0] > language.RECHECK * least[1]:
+            assert r["lang_pred"] == min(sizes, key=sizes.get)
+            assert abs(r["margin"] - (least[1] - least[0]) / least[1]) < 1e-9
+
+
+def test_long_texts_teach_from_all_over(spark):
+    text = " ".join(["aaaa"] * 400 + ["bbbb"] * 400)
+    docs = spark.createDataFrame([(i, text, "xx", "s", "x") for i in range(40)], SCHEMA)
+    content = language.fit(docs, F.lit(True), piece=200).dictionaries["xx"]
+    assert b"aaaa" in content and b"bbbb" in content
+
+
+def test_kept_rows_have_the_columns_they_came_with(spark):
+    names = ["doc_id", "text", "lang", "rejected", "margin", "lang_pred", "a.b"]
+    docs = spark.createDataFrame([(1, WORDS["en"][0] + " house that would have", "en", "r", "m", "l", "d"), (2, "12", "en", "r", "m", "l", "d")], names)
+    got = language.kept(docs, language.fit(spark.createDataFrame(made(60), SCHEMA), F.lit(True)))
+    assert got.columns == names and [tuple(r)[3:] for r in got.collect()] == [("r", "m", "l", "d")]

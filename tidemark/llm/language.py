@@ -1,31 +1,36 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
-fit() takes a bounded sample of the labelled texts of each language (`sample` texts, `piece` bytes of each, `size` bytes
-in all; both sample and model stay this small whatever the corpus) and uses it as a raw-content zstandard dictionary.
+fit() takes a bounded sample of the labelled texts of each language (`sample` texts; of a text longer than `piece` code
+points a piece of that length, at a place picked by the hash of the id; `size` bytes in all, pieces that do not fit left
+out) and uses it as a raw-content zstandard dictionary. Sample and model stay this small whatever the corpus, and at most
+`most_languages` languages are learned, those with most labelled texts.
 identify() cuts every whole text into chunks, compresses each with each dictionary and adds up the sizes, so that long
 texts do not become their own dictionaries. Texts are lower-cased first, and everything in ASCII but letters becomes a
 space. Where the two smallest sizes are within RECHECK of each other, the text is compressed again at a level that finds
 shorter matches; a tie that remains goes to the language with more labelled texts. `margin` is the gap between the two
 smallest sizes over the larger of them, and a text is rejected if it is `und` or its margin is below `least_margin`.
 
-Null texts and texts without a letter are `und` with score 0. Labels that are null, and labelled texts without a letter,
+Null texts and texts without a letter (Unicode categories L*) are `und` with score 0. Labels that are null, and labelled texts without a letter,
 teach nothing; without any label all texts are `und`. Repeated rows are judged each for itself. Empty tables give empty
 results. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_state
+
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 CHUNK = 2048
 LEVEL, FINE_LEVEL = 3, 19
@@ -47,24 +52,38 @@ class Model:
 
 
 def fit(
-    docs: DataFrame, teaches: Column, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = 400, piece: int = 1000, size: int = 128 << 10
+    docs: DataFrame,
+    teaches: Column,
+    text_col: str = "text",
+    label_col: str = "lang",
+    id_col: str = "doc_id",
+    sample: int = 400,
+    piece: int = 1000,
+    size: int = 128 << 10,
+    most_languages: int = 1000,
 ) -> Model:
     """Learns from rows with a label for which `teaches` holds; the sample of a language is picked by the hash of the id."""
     rows = docs.filter(teaches & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    text, id_ = F.col(text_col), F.col(id_col)
+    place = F.pmod(F.xxhash64(id_, F.lit(7)), F.greatest(F.length(text) - piece, F.lit(0)) + 1) + 1
+    rows = rows.select(F.col(label_col).cast("string").alias("lang"), text.substr(place.cast("int"), F.lit(piece)).alias("text"), F.xxhash64(id_, F.lit(5)).alias("h"))
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return Model({})
-    # a share of each language that gives about twice the sample, so the driver gets 2 x sample texts a language
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 2 * sample / n) * (1 << 20))).otherwise(share)
-    picked = rows.filter(F.pmod("h", F.lit(1 << 20)) < share).select("lang", "h", F.substring("text", 1, 4 * piece).alias("text")).collect()
+    # a share of each language that gives about twice the sample, so the driver gets 2 x sample pieces a language
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * sample / n) * (1 << 20)))))
+    picked = rows.filter(F.pmod("h", F.lit(1 << 20)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))).collect()
     dictionaries = {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        texts = dict.fromkeys(folded(r["text"])[:piece] for r in sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["h"], r["text"])) if LETTER.search(r["text"]))
-        if texts:
-            dictionaries[lang] = b" ".join(list(texts)[:sample])[:size]
+        own = sorted((r for r in picked if r["lang"] == lang and LETTER.search(r["text"])), key=lambda r: (r["h"], r["text"]))
+        chosen, room = [], size
+        for text_ in list(dict.fromkeys(folded(r["text"]) for r in own))[:sample]:
+            if len(text_) < room:
+                chosen.append(text_)
+                room -= len(text_) + 1
+        if chosen:
+            dictionaries[lang] = b" ".join(chosen)
     return Model(dictionaries)
 
 
@@ -103,26 +122,38 @@ class Judge:
 
 
 def identify(docs: DataFrame, model: Model, least_margin: float = 0.002, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` of docs (default: all), and lang_pred, score, margin and rejected, which replace columns of
-    these names."""
+    """The columns `carry` of docs (default: all), and lang_pred, score, margin and rejected; carried columns of these
+    names are left out (see kept, which returns the columns of docs alone)."""
     names = [c.split()[0] for c in SCORE_COLUMNS.split(", ")]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    kept = docs.select(*carried, F.col(text_col).alias("_text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    return _judged(docs, carried, names, model, least_margin, text_col)
+
+
+def kept(docs: DataFrame, model: Model, least_margin: float = 0.002, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns and no others."""
+    names = [f"_judged_{i}_{uuid.uuid4().hex[:8]}" for i in range(4)]
+    return _judged(docs, docs.columns, names, model, least_margin, text_col).filter(~F.col(names[3])).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _judged(docs: DataFrame, carried: list[str], names: list[str], model: Model, least_margin: float, text_col: str) -> DataFrame:
+    # columns go by number through the workers, so they may have any names
+    numbers = [f"c{i}" for i in range(len(carried))]
+    own = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(carried, numbers, strict=True)), F.col(text_col).alias("text"))
+    schema = own.drop("text").schema
+    for i, part in enumerate(SCORE_COLUMNS.split(", ")):
+        schema = schema.add(f"s{i}", part.split()[1])
+    broadcast, key = docs.sparkSession.sparkContext.broadcast(model), f"language {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(held.value, least_margin)
+        judge = worker_state(key, lambda: Judge(broadcast.value, least_margin))
         for batch in batches:
-            rows = [judge(t.as_py()) for t in batch["_text"]]
+            rows = [judge(t.as_py()) for t in batch["text"]]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in carried), *made], names=[*carried, *names])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in numbers), *made], names=schema.names)
 
-    schema = docs.select(*carried).schema
-    for part in SCORE_COLUMNS.split(", "):
-        schema = schema.add(*part.split())
-    return kept.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*carried, *names)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
