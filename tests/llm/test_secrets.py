@@ -69,3 +69,30 @@ def test_redaction_of_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repositories_take_part_in_the_decision(spark):
+    value = "Zq9xT7bLmP4w"
+    rows = [(i, f"TOKEN: '{value}'", f"owner{i % 2}", 1, "x") for i in range(30)]
+
+    def live(rows, **options):
+        return {r["n_live"] for r in secrets.scan(spark.createDataFrame(rows, SCHEMA), **options).collect()}
+
+    assert live(rows[:4]) == {1}  # two owners, few repositories
+    assert live(rows) == {0}  # two owners, many repositories
+    assert live([r for r in rows if r[2] == "owner0"] * 2) == {1}  # one owner's, wherever it is
+    three = [(1, f"TOKEN: '{value}'", o, 1, "x") for o in "abc"]
+    assert live(three) == {0} and live(three, example_repos=4) == {1}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, f"token = {LIVE} end", "a", "v", "w", "x")], "doc_id long, text string, source string, live string, _key string, n_live string")
+    got = secrets.redact(docs).collect()
+    assert [tuple(r) for r in got] == [(1, "token = [SECRET] end", "a", "v", "w", "x")]
+
+
+def test_very_long_text_and_added_patterns(spark):
+    text = "é" * 300_000 + " ghp_" + "A1b2C3d4E5f6" * 3 + " x eyJhbGciOiJ9.eyJzdWIiOiIx.SflKxwRJSMeK tail"
+    got = secrets.scan(spark.createDataFrame([(1, text, "a", 1, "x")], SCHEMA)).collect()[0]
+    at = 300_001
+    assert f"hosted:{at}:{at + 40}" in got["spans"] and "jwt:" in got["spans"]

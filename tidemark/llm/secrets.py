@@ -1,8 +1,9 @@
 """Secret scans: patterns find candidates, and the corpus-wide ownership of each value tells examples from live ones.
 
 Every value found is hashed, and the hashes are counted over the whole corpus by distinct repositories and distinct
-owners. A value that many owners hold is an example that has been copied about; a value that one or two owners hold, and
-that looks random, is reported as a `live` span over the value. Base spans stay whatever their ownership.
+owners. A value is an example that has been copied about if `example_owners` owners hold it in `example_repos`
+repositories, or two owners in `wide_repos` repositories. Any other value is its owners' own, however many repositories
+of one owner hold it, and if it looks random it is reported as a `live` span. Base spans stay whatever their ownership.
 
 Kinds, in listed order: assign, access, hex (base); pem, jwt, hosted (added patterns); live (added by ownership).
 Spans count code points of the whole text, end exclusive, and are leftmost and non-overlapping within a kind; a match
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialized
+from tidemark.llm.common import materialized, worker_state
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "hosted", "live")
 BASE = 3
@@ -72,6 +74,7 @@ SCHEMA = (
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("secrets")
     for batch in batches:
         found = [find(t.as_py() or "") for t in batch["text"]]
         base = [[s for s in spans if s[1] < BASE] for spans in found]
@@ -121,17 +124,23 @@ def scan(
     repo_col: str = "doc_id",
     owner_col: str = "source",
     example_owners: int = 3,
+    example_repos: int = 3,
+    wide_repos: int = 20,
     keyed: bool = False,
 ) -> DataFrame:
-    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, live
-    (spans of live values, array of start and end), and text_key, a hash of the text, if `keyed`."""
+    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, n_copies
+    (repositories that hold the most copied of its values), live (spans of live values, array of start and end), and
+    text_key, a hash of the text, if `keyed`."""
     found = scanned(docs, id_col, text_col, repo_col, owner_col, keyed)
     values = found.select("row_id", F.explode("found").alias("s")).filter("s.hash <> 0")
     values = values.select("row_id", "s.v0", "s.v1", F.col("s.hash").alias("hash")).distinct()
-    judged = values.join(ownership(found), "hash").withColumn("example", F.col("n_owners") >= example_owners)
+    copied = (F.col("n_owners") >= example_owners) & (F.col("n_repos") >= example_repos)
+    wide = (F.col("n_owners") > 1) & (F.col("n_repos") >= wide_repos)
+    judged = values.join(ownership(found), "hash").withColumn("example", copied | wide)
     live = judged.groupBy("row_id").agg(
         F.collect_set(F.when(~F.col("example"), F.struct(F.col("v0").alias("start"), F.lit(len(KINDS) - 1).alias("kind"), F.col("v1").alias("end")))).alias("live"),
         F.sum(F.col("example").cast("long")).alias("n_examples"),
+        F.max("n_repos").alias("n_copies"),
     )
     rows = found.join(live, "row_id", "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
@@ -148,6 +157,7 @@ def scan(
         text.alias("spans"),
         F.size(F.coalesce("live", none)).cast("long").alias("n_live"),
         F.coalesce("n_examples", F.lit(0)).alias("n_examples"),
+        F.coalesce("n_copies", F.lit(0)).alias("n_copies"),
         F.transform(F.sort_array(F.coalesce("live", none)), lambda s: F.struct(s["start"], s["end"])).alias("live"),
         *(["text_key"] if keyed else []),
     )
@@ -158,19 +168,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", id_c
     Documents without a live value come back as they are. Every row comes back once, whether its doc_id is null, repeated
     or its own: live spans follow from the text alone, so they are joined by its hash."""
     live = scan(docs, id_col=id_col, text_col=text_col, keyed=True, **options).filter("n_live > 0")
-    live = live.groupBy(F.col("text_key").alias("_key")).agg(F.first("live").alias("live"))
-    out = docs.join(live, text_key(text_col) == F.col("_key"), "left")
-    text = F.col(text_col)
+    key, spans = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("key", "live"))  # no column of docs has these names
+    live = live.groupBy(F.col("text_key").alias(key)).agg(F.first("live").alias(spans))
+    out = docs.join(live, text_key(text_col) == F.col(key), "left")
+    text, found = F.col(text_col), F.col(spans)
     # walking the spans from left to right: what stands between them, and a mark for each (overlapping ones share one)
     state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         fresh = s["start"] + 1 >= acc["at"]
-        kept = F.concat(acc["out"], F.substring(text, acc["at"], F.greatest(s["start"] + 1 - acc["at"], F.lit(0))), F.when(fresh, F.lit(mark)).otherwise(""))
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), kept.alias("out"))
+        between = F.concat(acc["out"], F.substring(text, acc["at"], F.greatest(s["start"] + 1 - acc["at"], F.lit(0))), F.when(fresh, F.lit(mark)).otherwise(""))
+        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), between.alias("out"))
 
-    cleaned = F.aggregate("live", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))))
-    out = out.withColumn(text_col, F.when(F.col("live").isNull(), text).otherwise(cleaned))
+    cleaned = F.aggregate(found, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))))
+    out = out.withColumn(text_col, F.when(found.isNull(), text).otherwise(cleaned))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(found.isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
