@@ -121,3 +121,10 @@ def test_one_stays_and_empty_table(spark):
     stays = {c for d, _, c in brute([r for r in rows if r[0] is not None], 5, 80)}
     assert {r["doc_id"] for r in ngram_join.first_of_each(docs).collect()} == stays
     assert ngram_join.grouped(docs.limit(0)).collect() == []
+
+
+def test_one_row_stays_of_repeated_rows_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a, 1, "x", 1), (5, a, 1, "x", 1), (6, a, 1, "x", 1), (None, a, 1, "x", 1), (None, b, 1, "x", 1), (None, b, 1, "x", 1), (7, "", 1, "x", 1), (7, "", 1, "x", 1), (None, None, 1, "x", 1)]
+    got = sorted(((r[0], r[1]) for r in ngram_join.first_of_each(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(5, a), (None, b), (7, ""), (7, ""), (None, None)], key=str)

@@ -66,3 +66,24 @@ def test_empty_tables_go_through(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rows, items = made()
+    value = "9f8e7d6c5b4a39281706f5e4"
+    text = f"the house and this that with from have where would some other people token = {value} house where have"
+    more = [(None, text, "en", "s1", 1), (None, text, "en", "s1", 1), (7, rows[7][1], "en", "s1", 1), (7, rows[7][1], "en", "s1", 1), (None, None, None, None, None)]
+    sf = str(tmp_path)
+    extra = "rejected string, live string, margin string, key string, h string, `a.b` string"
+    docs = spark.createDataFrame([(*r, "r", "l", "m", "k", "h", "d") for r in rows + more], f"{SCHEMA}, {extra}")
+    spark.createDataFrame(items, "item_id long, text string, x int").write.parquet(f"{sf}/benchmark.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{sf}/{i}")
+        docs = spark.read.parquet(f"{sf}/{i}")
+    got = docs.collect()
+    assert all(tuple(r)[5:] == ("r", "l", "m", "k", "h", "d") for r in got)
+    own = [r["text"] for r in got if r["doc_id"] is None]
+    assert own == [text.replace(value, "[SECRET]")]
+    assert sum(r["doc_id"] == 7 for r in got) == 1

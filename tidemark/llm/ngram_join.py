@@ -27,6 +27,7 @@ give empty results. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
-from tidemark.llm.common import discard, materialized
+from tidemark.llm.common import discard, materialized, worker_state
 from tidemark.llm.components import components
 
 LIGHTEST = 32  # largest boundary that is weighed
@@ -49,7 +50,7 @@ HEAVY_SHARE = 1000  # a shingle found in one document of so many is put last
 HEAVY_PART = 3
 VERIFY_COST = 4  # of a pair, against listing a shingle
 NO_ID = (1 << 63) - 1
-SET_COLUMNS = "doc_id long, n long, h1 long, h2 long, tokens array<long>, narrow binary, wide binary"
+SET_COLUMNS = "doc_id long, th long, n long, h1 long, h2 long, tokens array<long>, narrow binary, wide binary"
 PAIRS = "a long, b long"
 
 
@@ -120,11 +121,13 @@ def heavy_shingles(docs: DataFrame, size: int) -> np.ndarray:
 def document_sets(docs: DataFrame, size: int, per_cent: int, heavy: np.ndarray, whole: bool = False) -> DataFrame:
     """SET_COLUMNS of every document: tokens are all shingles of a set of up to LIGHTEST (or of all if whole), otherwise
     those to be listed; always in the common order."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     held = docs.sparkSession.sparkContext.broadcast(heavy)  # bounded, see heavy_shingles
     names = [c.split()[0] for c in SET_COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = held.value
+        worker_state("sets")
         for batch in batches:
             rows = []
             for _, s in shingles.sets(batch["text"], size):
@@ -139,9 +142,9 @@ def document_sets(docs: DataFrame, size: int, per_cent: int, heavy: np.ndarray,
                 rows.append((len(s), *identity(s), tokens.view(np.int64), folded(wide, SKETCH // 8).tobytes(), wide.tobytes()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SET_COLUMNS)
+    return docs.mapInArrow(run, SET_COLUMNS)
 
 
 def boundary(sizes: dict[int, int], list_length: float, per_cent: int) -> int:
@@ -312,11 +315,18 @@ def long_lists(postings: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    rows = _grouped(docs, size, per_cent, id_col, text_col)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("name", "key"), F.lit(NO_ID)).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, size: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key (doc_id, or NO_ID), th (hash of the text), n and name (the least key of the component; null without a
+    set) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heavy = heavy_shingles(docs, size)
     found = document_sets(docs, size, per_cent, heavy).withColumn("cid", F.xxhash64("n", "h1", "h2"))
     found = materialized(found.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))), "sets")
-    rows = found.select("doc_id", "key", "n", "cid")
+    rows = found.select("doc_id", "key", "th", "n", "cid")
     by = found.filter("n > 0").groupBy("cid", "n", "h1", "h2")
     classes = by.agg(F.min("key").alias("rep"), F.first("tokens").alias("tokens"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"))
     classes = materialized(classes, "classes")
@@ -357,12 +367,25 @@ def grouped(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "d
     named = materialized(named.select("cid", "rep", "component"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("component", "least")
     names = named.join(least, "component", "left").select("cid", F.coalesce("least", "rep").alias("name"))
-    out = rows.join(names, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("name", "key"), F.lit(NO_ID)).alias("component_id"))
+    return rows.join(names, "cid", "left").select("doc_id", "key", "th", "n", "name")
 
 
 def first_of_each(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component; rows with a null doc_id stay. doc_id has to tell
-    rows apart."""
-    others = grouped(docs, size, per_cent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(materialized(others, "copies"), F.col(id_col).cast("long") == F.col("_copy"), "left_anti")
+    """One row of docs for each component: that of the least doc_id (nulls last), of several such rows one with the least
+    hash of the text, and of rows that agree in both any one. Rows whose text has no word stay, repeated or not."""
+    rows = materialized(_grouped(docs, size, per_cent, id_col, text_col).filter("n > 0").groupBy("name", "key", "th").agg(F.count(F.lit(1)).alias("k")), "members")
+    stays = materialized(rows.groupBy("name").agg(F.min(F.struct("key", "th", "k")).alias("s")).select("s.*"), "first")
+    mark = uuid.uuid4().hex[:8]
+
+    def of(found: DataFrame):
+        own = found.select(F.col("key").alias(f"_key_{mark}"), F.col("th").alias(f"_th_{mark}"))
+        key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+        return own, (key == F.col(f"_key_{mark}")) & (F.xxhash64(F.col(text_col)) == F.col(f"_th_{mark}"))
+
+    out = docs.join(*of(rows.join(stays, ["key", "th"], "left_anti")), "left_anti")
+    repeated = stays.filter("k > 1").select("key", "th")
+    if repeated.limit(1).count():
+        once = docs.join(*of(repeated), "left_semi").withColumns({f"_k_{mark}": F.col(id_col).cast("long"), f"_t_{mark}": F.xxhash64(F.col(text_col))})
+        once = once.dropDuplicates([f"_k_{mark}", f"_t_{mark}"]).drop(f"_k_{mark}", f"_t_{mark}")
+        out = out.join(*of(repeated), "left_anti").unionByName(once)
+    return out
