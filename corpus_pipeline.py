@@ -5,12 +5,14 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 1. language: documents whose language compression can't tell go.
 2. near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles, the one with the
-   least doc_id stays.
+   least doc_id stays; of repeated rows, or copies that all lack an id, one stays.
 3. decontaminate: documents in which a benchmark item is found go.
 4. secrets: live-looking values, which few owners have, are replaced by a mark; widely copied examples stay.
 5. bpe: the ids of each text, with their number; decoding them gives the text back.
 
-Null texts have no language, so the first stage drops them. Empty tables go through as empty tables.
+Null texts have no language, so the first stage drops them. Null and repeated doc_ids are allowed: no stage joins rows
+by doc_id alone. Extra columns are carried through all stages but the last, whatever their names. Empty tables go through
+as empty tables.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from tidemark.llm.queries import vocabulary
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, F.lit(True))
-    return language.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return language.kept(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
