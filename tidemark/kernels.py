@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,35 +218,60 @@ def least_window(n: int, p: int) -> int:
 
 def bsadf(y: np.ndarray, p: int = 1, first: int | None = None, starts: int | None = None) -> np.ndarray:
     """For each end the greatest t-statistic over the starts that leave the least window; with starts=1 the expanding one.
-    Each start's regression is extended row by row by recursive least squares."""
+    The regressions of all starts are extended together, row by row, by recursive least squares."""
     z, x = adf_design(y, p)
     n, k = len(z), x.shape[1]
     w = first or least_window(len(y), p)
     out = np.full(n, np.nan)
-    for s in range(0, n - w + 1 if starts is None else starts):
-        if s + w > n:
-            break
-        xs, zs = x[s : s + w], z[s : s + w]
-        v = np.linalg.pinv(xs.T @ xs)
-        b = v @ (xs.T @ zs)
-        rss = float(((zs - xs @ b) ** 2).sum())
-        for m in range(s + w, n + 1):
-            dof = m - s - k
-            if rss > 0 and v[1, 1] > 0 and dof > 0:
-                t = b[1] / np.sqrt(rss / dof * v[1, 1])
-                if not out[m - 1] >= t:
-                    out[m - 1] = t
-            if m < n:
-                row = x[m]
-                g = v @ row
-                f = 1 + row @ g
-                e = z[m] - row @ b
-                b = b + g * (e / f)
-                v = v - np.outer(g, g) / f
-                rss += e * e / f
+    s = min(n - w + 1, n if starts is None else starts)
+    if s > 0:
+        xs = np.lib.stride_tricks.sliding_window_view(x, w, axis=0)[:s]  # start, regressor, row
+        zs = np.lib.stride_tricks.sliding_window_view(z, w)[:s]
+        v = np.linalg.pinv(xs @ xs.transpose(0, 2, 1))
+        b = np.einsum("skl,sl->sk", v, np.einsum("skr,sr->sk", xs, zs))
+        rss = np.square(zs - np.einsum("skr,sk->sr", xs, b)).sum(axis=1)
+        dofs = np.arange(n + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for m in range(w, n + 1):
+                old, now = min(m - w, s), min(m - w + 1, s)  # regressions that gain a row, and all that have their least window
+                if old:
+                    row = x[m - 1]
+                    g = v[:old] @ row
+                    f = 1 + g @ row
+                    e = z[m - 1] - b[:old] @ row
+                    b[:old] += g * (e / f)[:, None]
+                    v[:old] -= g[:, :, None] * (g / f[:, None])[:, None, :]
+                    rss[:old] += e * e / f
+                dof = dofs[m - k - now + 1 : m - k + 1][::-1]
+                ok = (rss[:now] > 0) & (v[:now, 1, 1] > 0) & (dof > 0)
+                if ok.any():
+                    out[m - 1] = (b[:now, 1] / np.sqrt(rss[:now] / dof * v[:now, 1, 1]))[ok].max()
     return np.concatenate((np.full(len(y) - n, np.nan), out))
 
 
+class MedianBefore:
+    """Median of a bucket's earlier values over the median of all earlier values; values are held sorted."""
+
+    def __init__(self):
+        self.all: list[float] = []
+        self.own: dict[object, list[float]] = {}
+
+    @staticmethod
+    def median(held: list[float]) -> float:
+        k = len(held)
+        return (held[(k - 1) // 2] + held[k // 2]) / 2 if k else float("nan")
+
+    def push(self, bucket: object, value: float | None) -> float:
+        bucket = None if bucket != bucket else bucket
+        own = self.own.setdefault(bucket, [])
+        whole = self.median(self.all)
+        out = self.median(own) / whole if whole else float("nan")
+        if value is not None and value == value:
+            insort(self.all, value)
+            insort(own, value)
+        return out
+
+
 def lz78(message: str) -> int:
     """Number of phrases of the parse; an unfinished last one counts."""
     seen, phrase, n = set(), "", 0

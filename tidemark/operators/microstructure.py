@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark import kernels
+from tidemark.fold import PerRow, ordered_fold, with_column
 from tidemark.functions import special
 from tidemark.operators.bars import order, tick_rule
 
@@ -150,14 +152,11 @@ def realized_moments(rows: DataFrame, by: list[str], at: list[str], ret: str = "
 
 
 def deseasonalize(rows: DataFrame, by: str, bucket: str, value: str, at: list[str]) -> DataFrame:
-    """multiplier: median of the bucket's earlier values over the median of all earlier values of the group."""
-    def median_before(w):
-        held = F.array_sort(F.collect_list(value).over(w.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)))
-        k = F.size(held)
-        return F.when(k > 0, (F.get(held, F.floor((k - 1) / 2).cast("int")) + F.get(held, F.floor(k / 2).cast("int"))) / 2)
-
-    out = rows.withColumns({"_b": median_before(Window.partitionBy(by, bucket)), "_a": median_before(Window.partitionBy(by))})
-    return out.withColumn("multiplier", F.try_divide("_b", "_a")).drop("_b", "_a")
+    """multiplier: median of the bucket's earlier values over the median of all earlier values of the group; missing where
+    either has none, or the latter is 0. Rows are folded in order, with the group's values held sorted."""
+    make = lambda: PerRow(kernels.MedianBefore().push, [bucket, value], "multiplier")
+    out = ordered_fold(rows, by, at, make, with_column(rows, "multiplier", "double"))
+    return out.withColumn("multiplier", F.when(~F.isnan("multiplier"), F.col("multiplier")))
 
 
 def vpin_bulk(ticks: DataFrame, bucket: float, n_buckets: int = 50, least: int = 10) -> DataFrame:
