@@ -49,7 +49,8 @@ def barrier_events(rows: DataFrame, events: DataFrame, horizon: int, min_ret: fl
 
 def triple_barrier(rows: DataFrame, events: DataFrame, horizon: int, pt: float = 1.0, sl: float = 1.0) -> DataFrame:
     """events (instrument, pos, target, t1, optional side) with exit, label, ret and bin: the first touch after the event,
-    the upper barrier tested first, 0 at t1. A multiple of 0 or less switches its barrier off."""
+    the upper barrier tested first, 0 at t1. A multiple of 0 or less switches its barrier off; ret is null where the event's
+    price is 0."""
     ahead = F.collect_list(F.struct("pos", "price")).over(_w().rowsBetween(1, horizon))
     paths = rows.select("instrument", "pos", F.col("price").alias("p0"), ahead.alias("path"))
     side = F.col("side") if "side" in events.columns else F.lit(1)
@@ -65,7 +66,7 @@ def triple_barrier(rows: DataFrame, events: DataFrame, horizon: int, pt: float =
     e = e.withColumns({"_hit": first, "_end": F.when(F.size("path") > 0, F.get(F.filter("path", lambda x: x["pos"] == F.col("t1")), F.lit(0)))})
     label = F.when(F.col("_hit").isNull(), 0).when(F.col("_hit.price") >= F.col("_up"), 1).otherwise(-1)
     price = F.coalesce("_hit.price", "_end.price", "p0")
-    out = e.withColumns({"exit": F.coalesce("_hit.pos", "t1"), "label": label, "ret": (price / F.col("p0") - 1) * F.col("_side")})
+    out = e.withColumns({"exit": F.coalesce("_hit.pos", "t1"), "label": label, "ret": (F.try_divide(price, F.col("p0")) - 1) * F.col("_side")})
     return out.withColumn("bin", (F.col("label") * F.signum("_side")).cast("int")).drop("path", "p0", "_side", "_up", "_dn", "_hit", "_end")
 
 
@@ -95,7 +96,8 @@ def uniqueness(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def sample_weights(rows: DataFrame, spans: DataFrame, normalize: bool = True) -> DataFrame:
     """spans with |sum of log return / concurrency|, scaled to add up to the number of spans of the instrument."""
-    logret = F.coalesce(F.log(F.col("price") / F.lag("price").over(_w())), F.lit(0.0))
+    # a return from or to a price of 0 counts as none
+    logret = F.coalesce(F.log(F.try_divide(F.col("price"), F.lag("price").over(_w()))), F.lit(0.0))
     joined = rows.withColumn("_r", logret).join(concurrency(rows, spans), ["instrument", "pos"])
     share = F.when(F.col("c") > 0, F.col("_r") / F.col("c")).otherwise(0.0)
     running = joined.withColumn("s", F.sum(share).over(_w().rowsBetween(Window.unboundedPreceding, 0)))
@@ -145,9 +147,14 @@ def combinatorial_folds(spans: DataFrame, n_groups: int = 6, n_test: int = 2, em
 
 
 def drop_overlapping(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Rows of train (instrument, t0, t1) whose span meets none of test's."""
-    other = test.select(F.col("instrument").alias("_o"), F.col("t0").alias("_lo"), F.col("t1").alias("_hi"))
-    return train.join(other, (F.col("instrument") == F.col("_o")) & (F.col("t0") <= F.col("_hi")) & (F.col("t1") >= F.col("_lo")), "left_anti")
+    """Rows of train (instrument, t0, t1) whose span meets none of test's: of the test spans that begin by a row's t1, the
+    latest end is before its t0. One sort, no pairs."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in train.schema.fields if f.name != "instrument"]
+    other = test.select("instrument", *none, F.col("t0").alias("_at"), F.lit(0).alias("_own"), F.col("t1").alias("_hi"))
+    both = train.withColumns({"_at": F.col("t1"), "_own": F.lit(1), "_hi": F.lit(None).cast(test.schema["t1"].dataType)}).unionByName(other)
+    so_far = Window.partitionBy("instrument").orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_met", F.max("_hi").over(so_far)).filter("_own = 1 AND coalesce(_met < t0, true)")
+    return met.select(*train.columns)
 
 
 def block_bootstrap(rows: DataFrame, block: int, replicates: int, seed: int = 0, circular: bool = True) -> DataFrame:
