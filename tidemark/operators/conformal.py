@@ -46,18 +46,38 @@ def aps(probs: Column, true: Column) -> Column:
     return F.round(mass, 9)  # so that equal masses, added up in another order, are equal
 
 
+PIECES = 256  # a group's scores are ranked in so many pieces at least
+
+
 def quantile(scores: DataFrame, score: str, alpha: float, by: list[str] | None = None) -> DataFrame:
-    """by, n, q: the finite-sample quantile of each group, exactly."""
+    """by, n, q: the finite-sample quantile of each group, exactly. Approximate quantiles cut each group into pieces, the
+    pieces are counted, and only the one that holds the place is ranked, so no task sorts a whole group."""
     by = by or []
-    n = F.count(score)
+    own = scores.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("_s"))
+    n = F.count(F.lit(1))
     k = F.least(F.ceil((n + 1) * F.lit(1 - alpha) - F.lit(1e-12)) + 1, n)
-    ranked = scores.filter(F.col(score).isNotNull()).groupBy(*by).agg(n.alias("n"), k.alias("_k"))
+    cuts = F.percentile_approx("_s", [i / PIECES for i in range(1, PIECES)], 10 * PIECES)
+    ranked = own.groupBy(*by).agg(n.alias("n"), k.alias("_k"), cuts.alias("_cuts"))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, by) if by else a.crossJoin(F.broadcast(b))  # without groups b is one row
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.coalesce(F.get("_cuts", at + width - 1) < F.col("_s"), F.lit(False)), at + width).otherwise(at)
+
+    # how many cuts lie below a score, by halving
+    widths = F.array(*(F.lit(1 << i) for i in reversed(range(PIECES.bit_length() - 1))))
+    placed = joined(own, ranked).withColumn("_p", F.aggregate(widths, F.lit(0), step))
+    counts = placed.groupBy(*by, "_p").agg(n.alias("_c"), F.first("_k").alias("_k"), F.first("n").alias("n"))
+    up = F.sum("_c").over(Window.partitionBy(*by).orderBy("_p") if by else Window.orderBy("_p"))  # PIECES rows a group
+    piece = counts.withColumn("_up", up).filter((F.col("_up") >= F.col("_k")) & (F.col("_up") - F.col("_c") < F.col("_k")))
+    piece = piece.select(*by, F.col("_p").alias("_piece"), "n", (F.col("_k") - F.col("_up") + F.col("_c")).alias("_left"))
+    held = joined(placed.select(*by, "_s", "_p"), piece).filter(F.col("_p") == F.col("_piece"))
     # counts of distinct values, then their running sum: ties share a place
-    counts = scores.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_up", F.sum("_c").over(w))
-    both = counts.join(ranked, by) if by else counts.crossJoin(F.broadcast(ranked))
-    return both.filter(F.col("_up") >= F.col("_k")).groupBy(*by, "n").agg(F.min(score).alias("q"))
+    values = held.groupBy(*by, "n", "_left", "_s").agg(n.alias("_c"))
+    within = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_up", F.sum("_c").over(within)).filter(F.col("_up") >= F.col("_left"))
+    return values.groupBy(*by, "n").agg(F.min("_s").alias("q"))
 
 
 def split_intervals(calibration: DataFrame, test: DataFrame, alpha: float, by: list[str] | None = None, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -67,7 +87,7 @@ def split_intervals(calibration: DataFrame, test: DataFrame, alpha: float, by: l
     whole = quantile(scored, "_s", alpha).select(F.col("q").alias("_q0"))
     if by:
         per = quantile(scored, "_s", alpha, by).select(*by, F.col("q").alias("_q1"))
-        out = test.join(F.broadcast(per), by, "left").crossJoin(F.broadcast(whole)).withColumn("_q", F.coalesce("_q1", "_q0"))
+        out = test.join(per, by, "left").crossJoin(F.broadcast(whole)).withColumn("_q", F.coalesce("_q1", "_q0"))
     else:
         out = test.crossJoin(F.broadcast(whole)).withColumn("_q", F.col("_q0"))
     return out.withColumns({"lower": F.col(pred) - F.col("_q"), "upper": F.col(pred) + F.col("_q")}).drop("_q", "_q0", "_q1")
