@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,9 +55,14 @@ def average_cost(fills: DataFrame, by: str = "ticker", at: tuple[str, ...] = ("t
     return ordered_fold(fills, by, list(at), _Positions, schema)
 
 
+def _money(amount: Column) -> Column:
+    """A sum that doesn't depend on the order of rows: amounts to eight decimals, added up exactly."""
+    return F.sum(amount.cast("decimal(28,8)")).cast("double")
+
+
 def shortfall(orders: DataFrame, fills: DataFrame) -> DataFrame:
     """orders (order_id, qty, decision, final) with their average fill price, price impact, commission, missed gain, total."""
-    f = fills.groupBy("order_id").agg(F.sum("qty").alias("filled"), F.sum(F.col("qty") * F.col("price")).alias("_v"), F.sum("commission").alias("commission"))
+    f = fills.groupBy("order_id").agg(F.sum("qty").alias("filled"), _money(F.col("qty") * F.col("price")).alias("_v"), _money(F.col("commission")).alias("commission"))
     out = orders.join(f, "order_id", "left").withColumn("filled", F.coalesce("filled", F.lit(0.0)))
     out = out.withColumns({
         "vwap": F.try_divide("_v", "filled"),
@@ -122,11 +130,31 @@ def order_states(events: DataFrame, by: str = "order_id", at: tuple[str, ...] =
 def hash_chain(events: DataFrame, by: str, at: list[str], payload: list[str]) -> DataFrame:
     """by, n, digest: d0 = sha256(genesis), then sha256 of the digest before and the event's JSON, in order."""
     # keys sorted, so that the text of an event doesn't depend on the order of columns
-    ordered = events.select(F.col(by), F.struct(*at, F.to_json(F.struct(*sorted(payload))).alias("_j")).alias("_e"))
-    chain = ordered.groupBy(by).agg(F.sort_array(F.collect_list("_e")).alias("_es"))
-    start = F.unhex(F.sha2(F.lit(GENESIS).cast("binary"), 256))
-    digest = F.aggregate("_es", start, lambda acc, e: F.unhex(F.sha2(F.concat(acc, e["_j"].cast("binary")), 256)))
-    return chain.select(by, F.size("_es").alias("n"), F.lower(F.hex(digest)).alias("digest"))
+    ordered = events.select(by, *at, F.to_json(F.struct(*sorted(payload))).alias("_j"))
+    kind = events.schema[by].dataType.simpleString()
+    return ordered_fold(ordered, by, [*at, "_j"], lambda: _Chain(by), f"`{by}` {kind}, n int, digest string")
+
+
+class _Chain(Fold):
+    def __init__(self, by: str):
+        self.by, self.key, self.n, self.digest = by, None, 0, sha256(GENESIS.encode()).digest()
+
+    def rows(self, part: pd.DataFrame) -> None:
+        self.key = part[self.by].iloc[0]
+        for text in part["_j"]:
+            self.digest = sha256(self.digest + text.encode()).digest()
+        self.n += len(part)
+
+    def end(self) -> pd.DataFrame:
+        return pd.DataFrame({self.by: [self.key], "n": [self.n], "digest": [self.digest.hex()]})
+
+
+def verify_chain(events: DataFrame, chains: DataFrame, by: str, at: list[str], payload: list[str]) -> DataFrame:
+    """by, ok, expected, found: whether the events give the digests (by, n, digest) on record; a chain that only one side
+    has isn't ok."""
+    own = hash_chain(events, by, at, payload).select(by, F.col("n").alias("_n"), F.col("digest").alias("found"))
+    both = chains.select(by, "n", F.col("digest").alias("expected")).join(own, by, "full")
+    return both.select(by, F.coalesce((F.col("expected") == F.col("found")) & (F.col("n") == F.col("_n")), F.lit(False)).alias("ok"), "expected", "found")
 
 
 def rebalance(rows: DataFrame, nav: DataFrame, by: str = "book", max_weight: float = 0.1, max_leverage: float = 1.0, cash_buffer: float = 0.02, lot: int = 1, min_notional: float = 100.0, long_only: bool = False, max_turnover: float = 1.0) -> DataFrame:

@@ -175,9 +175,9 @@ def _every_quarter(spark, sf_dir):
 
 
 @query("pit_split_adjust", f"""WITH {EVERY_QUARTER_SQL}, a AS (SELECT *, coalesce(product(coalesce(split_ratio, 1)) OVER (PARTITION BY instrument ORDER BY date
-ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS adj_factor FROM split) SELECT instrument, date, adj_factor, round(close / adj_factor, 4) AS adj_close FROM a""")
+ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS adj_factor FROM split) SELECT instrument, date, adj_factor, CAST(round(CAST(close / adj_factor AS DECIMAL(30, 8)), 4) AS DOUBLE) AS adj_close FROM a""")
 def pit_split_adjust(spark, sf_dir):
-    return pit.adjust_splits(_every_quarter(spark, sf_dir)).select("instrument", "date", "adj_factor", F.round("adj_close", 4).alias("adj_close"))
+    return pit.adjust_splits(_every_quarter(spark, sf_dir)).select("instrument", "date", "adj_factor", F.round(F.col("adj_close").cast("decimal(30,8)"), 4).cast("double").alias("adj_close"))
 
 
 @query("pit_adjusted_prices", f"""WITH {KNOWN_SQL}, s AS (SELECT DISTINCT entity, event_date AS ex FROM known WHERE month(event_date) = 6)

@@ -11,19 +11,22 @@ from tidemark.plans.q_bars import SIGNED_SQL
 from tidemark.plans.q_research import _returns, rounded
 from tidemark.plans.registry import query, table
 
-N_ASSETS = 16  # of the queries with a SQL twin; the others take every component
-X_SQL = f"x AS (SELECT vec_id AS t, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({N_ASSETS}) r(i))"
+X_SQL = """x AS (SELECT vec_id AS t, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"""
 
 
-def _matrix(spark, sf_dir, n_assets=None):
-    """t, i, x: the first n_assets components of every embedding, or all of them."""
-    held = F.col("embedding") if n_assets is None else F.slice("embedding", 1, n_assets)
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode(held).alias("i", "x"))
+def _matrix(spark, sf_dir):
+    """t, i, x: every component of every embedding; components are the assets."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("i", "x"))
     return rows.select("t", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-def _cov(spark, sf_dir, n_assets=None):
-    return pf.covariance(_matrix(spark, sf_dir, n_assets))
+def _cov(spark, sf_dir):
+    return pf.covariance(_matrix(spark, sf_dir))
+
+
+def _exact(value, digits):
+    """Rounded as a decimal, so that the last bit of a sum or product can't turn a digit."""
+    return F.round(F.col(value).cast("decimal(30,8)"), digits).cast("double").alias(value)
 
 
 COV_SQL = X_SQL + ", cov AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS value FROM x a JOIN x b USING (t) GROUP BY 1, 2)"
@@ -31,15 +34,15 @@ COV_SQL = X_SQL + ", cov AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS value
 
 @query("cov_sample", f"WITH {COV_SQL} SELECT i, j, round(value, 6) + 0 AS value FROM cov")
 def cov_sample(spark, sf_dir):
-    return rounded(_cov(spark, sf_dir, N_ASSETS))
+    return rounded(_cov(spark, sf_dir))
 
 
 @query("cov_lw", f"""WITH {X_SQL}, c AS (SELECT t, i, x - avg(x) OVER (PARTITION BY i) AS x FROM x), s AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / count(*) AS v FROM c a JOIN c b USING (t) GROUP BY 1, 2),
-k AS (SELECT sum(q * q) AS s4, count(*) AS n FROM (SELECT t, sum(x * x) AS q FROM c GROUP BY 1)), m AS (SELECT sum(v) FILTER (WHERE i = j) / {N_ASSETS} AS mu, sum(v * v) AS f FROM s),
-d AS (SELECT mu, (f - {N_ASSETS} * mu * mu) / {N_ASSETS} AS d2, (s4 / n - f) / (n * {N_ASSETS}) AS b2 FROM m, k), e AS (SELECT mu, least(b2, d2) / d2 AS delta FROM d)
+k AS (SELECT sum(q * q) AS s4, count(*) AS n FROM (SELECT t, sum(x * x) AS q FROM c GROUP BY 1)), m AS (SELECT count(*) FILTER (WHERE i = j) AS p, sum(v) FILTER (WHERE i = j) / count(*) FILTER (WHERE i = j) AS mu, sum(v * v) AS f FROM s),
+d AS (SELECT mu, (f - p * mu * mu) / p AS d2, (s4 / n - f) / (n * p) AS b2 FROM m, k), e AS (SELECT mu, least(b2, d2) / d2 AS delta FROM d)
 SELECT s.i, s.j, round(delta * CASE WHEN i = j THEN mu ELSE 0 END + (1 - delta) * v, 6) + 0 AS value, round(delta, 6) AS delta FROM s, e""")
 def cov_lw(spark, sf_dir):
-    return rounded(pf.ledoit_wolf(_matrix(spark, sf_dir, N_ASSETS)))
+    return rounded(pf.ledoit_wolf(_matrix(spark, sf_dir)))
 
 
 @query("cov_rmt")
@@ -134,16 +137,20 @@ def ex_avg_cost(spark, sf_dir):
     return out.select("ticker", "seq", "position", F.round("avg_cost", 6).alias("avg_cost"), F.round("realized", 2).alias("realized"), F.round("cash", 2).alias("cash"))
 
 
-@query("ex_shortfall", """WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity) AS filled, sum(l_quantity * (l_extendedprice / l_quantity)) AS v, sum(l_tax * 10) AS commission FROM lineitem GROUP BY 1),
+def _exact_sql(value, digits):
+    return f"CAST(round(CAST({value} AS DECIMAL(30, 8)), {digits}) AS DOUBLE)"
+
+
+@query("ex_shortfall", f"""WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity) AS filled, CAST(sum(CAST(l_quantity * (l_extendedprice / l_quantity) AS DECIMAL(28, 8))) AS DOUBLE) AS v, CAST(sum(CAST(l_tax * 10 AS DECIMAL(28, 8))) AS DOUBLE) AS commission FROM lineitem GROUP BY 1),
 o AS (SELECT o_orderkey AS order_id, 100.0 AS qty, o_totalprice / 100 AS decision, o_totalprice / 90 AS final FROM orders),
 j AS (SELECT o.order_id, qty, decision, final, coalesce(filled, 0) AS filled, v, coalesce(commission, 0) AS commission FROM o LEFT JOIN f USING (order_id))
-SELECT order_id, filled, round(v / nullif(filled, 0), 6) AS vwap, round(coalesce(v - filled * decision, 0), 3) AS impact, round(commission, 4) AS commission, round((qty - filled) * (final - decision), 3) AS missed,
-round(coalesce(v - filled * decision, 0) + commission + (qty - filled) * (final - decision), 3) AS total FROM j""")
+SELECT order_id, filled, {_exact_sql("v / nullif(filled, 0)", 6)} AS vwap, {_exact_sql("coalesce(v - filled * decision, 0)", 3)} AS impact, {_exact_sql("commission", 4)} AS commission, {_exact_sql("(qty - filled) * (final - decision)", 3)} AS missed,
+{_exact_sql("coalesce(v - filled * decision, 0) + commission + (qty - filled) * (final - decision)", 3)} AS total FROM j""")
 def ex_shortfall(spark, sf_dir):
     fills = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * 10).alias("commission"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit(100.0).alias("qty"), (F.col("o_totalprice") / 100).alias("decision"), (F.col("o_totalprice") / 90).alias("final"))
     out = ex.shortfall(orders, fills)
-    return out.select("order_id", "filled", F.round("vwap", 6).alias("vwap"), F.round("impact", 3).alias("impact"), F.round("commission", 4).alias("commission"), F.round("missed", 3).alias("missed"), F.round("total", 3).alias("total"))
+    return out.select("order_id", "filled", _exact("vwap", 6), _exact("impact", 3), _exact("commission", 4), _exact("missed", 3), _exact("total", 3))
 
 
 @query("ex_reconcile", """WITH a AS (SELECT l_suppkey AS ticker, sum(l_quantity) AS q, round(avg(l_tax), 6) AS c FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1),
