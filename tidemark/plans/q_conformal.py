@@ -11,7 +11,7 @@ from tidemark.plans.q_research import rounded
 from tidemark.plans.registry import query, table
 
 PRED_SQL = """pred AS (SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS stratum, l_extendedprice AS y, l_quantity * 1500.0 AS pred, l_quantity AS x, l_discount FROM lineitem),
-cal AS (SELECT *, abs(y - pred) AS s FROM pred WHERE id % 4 = 0), test AS (SELECT * FROM pred WHERE id % 4 = 1)"""
+cal AS (SELECT *, abs(y - pred) AS s FROM pred WHERE id % 2 = 0), test AS (SELECT * FROM pred WHERE id % 2 = 1)"""
 K = "least(ceil((count(*) + 1) * 0.9 - 1e-12) + 1, count(*))"
 QUANT_SQL = PRED_SQL + f""", r AS (SELECT s, row_number() OVER (ORDER BY s) AS r FROM cal), q0 AS (SELECT s AS q FROM r WHERE r = (SELECT {K} FROM cal)),
 rs AS (SELECT stratum, s, row_number() OVER (PARTITION BY stratum ORDER BY s) AS r FROM cal), ks AS (SELECT stratum, {K} AS k, count(*) AS n FROM cal GROUP BY 1), q1 AS (SELECT rs.stratum, s AS q, n FROM rs JOIN ks ON ks.stratum = rs.stratum AND r = k),
@@ -20,7 +20,7 @@ iv AS (SELECT test.*, pred - q0.q AS lower, pred + q0.q AS upper FROM test, q0)"
 
 def _pred(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("stratum"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("pred"), F.col("l_quantity").alias("x"), "l_discount")
-    return rows.filter("id % 4 = 0"), rows.filter("id % 4 = 1")
+    return rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
 
 
 def _intervals(spark, sf_dir, by=None):
@@ -43,7 +43,7 @@ def cf_mondrian(spark, sf_dir):
     return rounded(_intervals(spark, sf_dir, ["stratum"]).select("id", "line", "lower", "upper"), 4)
 
 
-@query("cf_cqr_scores", f"WITH {PRED_SQL} SELECT id, line, round(greatest(pred * 0.5 - y, y - pred * 1.5), 4) AS score FROM pred WHERE id % 4 = 0")
+@query("cf_cqr_scores", f"WITH {PRED_SQL} SELECT id, line, round(greatest(pred * 0.5 - y, y - pred * 1.5), 4) AS score FROM pred WHERE id % 2 = 0")
 def cf_cqr_scores(spark, sf_dir):
     cal, _ = _pred(spark, sf_dir)
     return cal.select("id", "line", F.round(cf.quantile_gap(F.col("y"), F.col("pred") * 0.5, F.col("pred") * 1.5), 4).alias("score"))

@@ -38,13 +38,12 @@ def label_ewm_vol(spark, sf_dir):
 
 
 EVENTS_SQL = SERIES_SQL + """, ev AS (SELECT instrument, pos, CASE WHEN pos % 2 = 0 THEN 1 ELSE -1 END AS side, 0.5 AS target, least(pos + 6, max(pos) OVER (PARTITION BY instrument)) AS t1 FROM series)
-, e AS (SELECT * FROM ev WHERE pos % 3 = 0)"""
+, e AS (SELECT * FROM ev)"""
 
 
 def _events(spark, sf_dir):
     rows = _series(spark, sf_dir).withColumn("target", F.when(F.col("pos") % 3 == 0, F.lit(0.5)))
-    picked = rows.filter("pos % 3 = 0")
-    return lb.barrier_events(rows, picked, 6).withColumn("side", F.when(F.col("pos") % 2 == 0, 1).otherwise(-1))
+    return lb.barrier_events(rows, rows, 6).withColumn("side", F.when(F.col("pos") % 2 == 0, 1).otherwise(-1))
 
 
 @query("label_events", f"WITH {EVENTS_SQL} SELECT instrument, CAST(pos AS INTEGER) AS pos, CAST(target AS DOUBLE) AS target, CAST(t1 AS INTEGER) AS t1 FROM e")
