@@ -98,44 +98,68 @@ def hot(n, seed=5):
 
 
 def merged(rows, large):
-    """The runs of all texts, and what _merged makes of them."""
+    """The runs of all texts (anchor, hash, content, doc), each a bucket of its own, and what _merged makes of them by bucket."""
     texts = [r[1].encode() for r in rows]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    found = sorted((int(np.uint64(h).view(np.int64)), hash(texts[k][s : s + n + 49]), texts[k][s : s + n + 49], rows[k][0], rows[k][0]) for k, h, s, n in zip(*repeats.runs(offsets, raw), strict=True))
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[a : a + 500], strict=True), kinds, strict=True)], names=["h", "c", "content", "lo", "hi"]) for a in range(0, len(found), 500)]
-    out = [r for b in repeats._merged(iter(batches), large) for r in b.to_pylist()]
-    return found, out
+    found = sorted((int(h), hash(texts[k][s : s + n + 49]) & (1 << 62) - 1, texts[k][s : s + n + 49], rows[k][0]) for k, h, s, n in zip(*repeats.runs(offsets, raw), strict=True))
+    blobs = []
+    for a in range(0, len(found), 500):
+        h, c, content, doc = zip(*found[a : a + 500], strict=True)
+        at = np.arange(a, a + len(h))
+        columns = [np.array(x, k) for x, k in zip((h, c, at, at, doc, [5000] * len(h), [len(x) for x in content]), repeats.RUN, strict=False)]
+        blobs.append(pa.RecordBatch.from_arrays([pa.array([0]), pa.array([repeats.pack(*columns, b"".join(content))], pa.binary())], names=["key", "blob"]))
+    least, passed = {}, []
+    for batch in repeats._merged(iter(blobs), large):
+        for r in batch.to_pylist():
+            if r["content"] is not None:
+                passed.append(r)
+                continue
+            i, count, at, value = repeats.unpack(r["blob"], *repeats.ANSWER)
+            ends = np.cumsum(count)
+            for k, e, n in zip(i.tolist(), ends.tolist(), count.tolist(), strict=True):
+                assert k == r["d"]
+                least[k] = list(zip(at[e - n : e].tolist(), value[e - n : e].tolist(), strict=True))
+    return found, least, passed
+
+
+def held_out(found, least, among):
+    """Whether each answer has the least doc of each string."""
+    first = {}
+    for k in among:
+        _, _, x, doc = found[k]
+        for i in range(len(x) - 49):
+            first[x[i : i + 50]] = min(first.get(x[i : i + 50], 1 << 63), doc)
+    for k in among:
+        x, got = found[k][2], []
+        for (at, value), (stop, _) in zip(least[k], [*least[k][1:], (len(found[k][2]) - 49, 0)], strict=True):
+            assert at == len(got) < stop
+            got += [value] * (stop - at)
+        assert got == [first[x[i : i + 50]] for i in range(len(x) - 49)]
 
 
 def test_one_anchor_of_more_than_256_shards(monkeypatch):
     monkeypatch.setattr(repeats, "SHARD", 200)
-    found, out = merged(hot(1200), 1 << 30)
+    found, least, passed = merged(hot(1200), 1 << 30)
     sizes = {}
-    for h, _, content, *_ in found:
+    for h, _, content, _ in dict.fromkeys((*f[:3], 0) for f in found):
         sizes[h] = sizes.get(h, 0) + len(content) + 1
-    assert max(sizes.values()) > 256 * 281
-    first, content = {}, {}
-    for h, c, x, low, _ in found:
-        content[h, c] = x
-        for i in range(len(x) - 49):
-            first[x[i : i + 50]] = min(first.get(x[i : i + 50], 1 << 63), low)
-    several = [r for r in out if len(r["least"]) > 1]
-    assert len(several) >= 1200
-    for r in several:
-        x = content[r["h"], r["c"]]
-        assert r["least"] == [first[x[i : i + 50]] for i in range(len(x) - 49)]
-
-
-def test_runs_of_a_large_anchor_pass_through_once():
-    found, out = merged(hot(1200), 5000)
-    passed = [r for r in out if r["least"] is None]
-    assert len(passed) > 1200 and len({(r["h"], r["c"]) for r in passed}) == len(passed)
-    low = {}
-    for h, c, _, lo, _ in found:
-        low[h, c] = min(lo, low.get((h, c), lo))
-    assert all(r["lo"] == low[r["h"], r["c"]] for r in passed)
+    assert max(sizes.values()) > 256 * 281 and not passed and len(least) == len(found)
+    held_out(found, least, range(len(found)))
+
+
+@pytest.mark.parametrize("held", [1 << 26, 20_000])
+def test_runs_of_a_large_anchor_pass_through_once(monkeypatch, held):
+    monkeypatch.setattr(repeats, "HELD", held)
+    found, least, passed = merged(hot(1200), 5000)
+    assert len(passed) > 1200 and len({r["d"] for r in passed}) == len(passed)
+    assert {r["d"] for r in passed} | set(least) == set(range(len(found))) and not {r["d"] for r in passed} & set(least)
+    assert all(r["content"] == found[r["d"]][2] and r["i"] == r["d"] for r in passed)
+    by = {}
+    for k in least:
+        by.setdefault(found[k][0], []).append(k)
+    for among in by.values():
+        held_out(found, least, among)
 
 
 @pytest.mark.parametrize("large", [0, 5000])

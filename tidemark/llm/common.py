@@ -10,6 +10,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: files of finished shuffles go at the end of the job, not when the driver's garbage happens to be collected
@@ -63,10 +66,10 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Deletes the files of a materialized table that nothing reads any more, or one part of its folder."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemark-" in folder:
+        if "/tidemark-" in folder and folder.endswith(part):
             removed(df.sparkSession, folder)
 
 
@@ -87,7 +90,20 @@ def worker_state(key: str, make: Callable[[], Any] | None = None) -> Any:
 def trimmed() -> None:
     """Gives the memory that Python has freed back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where the column's bytes come to more than `most`; a longer value is a piece of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop

@@ -29,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
+class Powers:
     up = down = np.ones(1, np.uint64)
 
     @classmethod
@@ -74,7 +74,7 @@ def words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     breaks[offsets] = True
     starts = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1] | breaks[1:-1])))
     ends = np.flatnonzero(solid & np.concatenate((~solid[1:] | breaks[1:-1], [True]))) + 1
-    up, down = _Powers.upto(len(raw))
+    up, down = Powers.upto(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * up[: len(raw)], out=total[1:])
     hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
