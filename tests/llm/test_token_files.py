@@ -74,3 +74,44 @@ def test_added_tokens_in_other_spellings(spark):
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
     for text, ids in zip(texts, words.encode(texts), strict=True):
         assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
+
+
+def greedy(ids, vocabulary):
+    """Symbols and rules of exact Re-Pair: the most frequent pair is replaced, one at a time, until none is frequent."""
+    symbols, rules = list(ids), 0
+    while True:
+        counts, at = {}, 0
+        while at < len(symbols) - 1:
+            pair = symbols[at], symbols[at + 1]
+            counts[pair] = counts.get(pair, 0) + 1
+            at += 2 if pair[0] == pair[1] and at + 2 < len(symbols) and symbols[at + 2] == pair[0] else 1
+        pair, n = max(counts.items(), key=lambda x: x[1], default=(None, 0))
+        if n < token_files.LEAST_COUNT:
+            return len(symbols), rules
+        out, at = [], 0
+        while at < len(symbols):
+            if symbols[at : at + 2] == list(pair):
+                out.append(vocabulary + rules)
+                at += 2
+            else:
+                out.append(symbols[at])
+                at += 1
+        symbols, rules = out, rules + 1
+
+
+def test_as_small_as_exact_replacement():
+    rnd = random.Random(4)
+    phrases = [[rnd.randrange(400) for _ in range(rnd.randint(2, 9))] for _ in range(60)]
+    ids = [x for _ in range(2500) for x in (rnd.choice(phrases) if rnd.random() < 0.8 else [rnd.randrange(400)])]
+    symbols, ends, rules = token_files.compress(np.array(ids), np.array([len(ids)]), 400)
+    n, r = greedy(ids, 400)
+    assert ends[-1] == len(symbols) and 2 * len(symbols) + 12 * len(rules) < 1.2 * (2 * n + 12 * r)
+
+
+def test_every_latin_character_in_every_place():
+    words = token_files.Words(open(PATH, encoding="utf-8").read())
+    texts = []
+    for c in map(chr, [*range(1, 0x370), 0x1E9E, 0x212B, 0x3C2]):
+        texts += [f"{c}", f"ab{c}", f"AB{c},", f"{c}é.", f"x {c}{c} y", f"a{c}b's"]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, ascii(text)

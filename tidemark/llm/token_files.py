@@ -2,8 +2,8 @@
 
 Documents are dealt out by ranges of doc_id and sorted; each task tokenizes its own and cuts them into blocks of about
 BLOCK_TOKENS ids (a longer document is a block of its own). A block is a shard of its own grammar: Re-Pair replaces the
-most frequent pairs of neighbouring symbols by nonterminals, many pairs in a round, until no pair is frequent, the rounds
-are over or the symbols are used up. Pairs never cross documents, so any document can be decoded alone.
+most frequent pairs of neighbouring symbols by nonterminals, many pairs in a round, until no pair occurs LEAST_COUNT times
+or 16 bits name no further symbol. Pairs never cross documents, so any document can be decoded alone.
 
 The files are Parquet, one row for each block: task, start_in_task (ids of the task before the block), n_docs, n_tokens
 and `payload`. All numbers in a payload are little-endian:
@@ -15,7 +15,8 @@ and `payload`. All numbers in a payload are little-endian:
   s x symbol                  u16 if all symbols fit, else u32
 
 A word's ids are those the tokenizers library gives it; single spaces and newlines always part pre-tokens of a
-white-space-dropping vocabulary, so words between them are looked up in a bounded cache of two generations and only new ones tokenized, many in a call.
+white-space-dropping vocabulary, so texts are split there, equal words are encoded once, and only words that a bounded
+cache doesn't hold go to the library.
 
 Null text counts as an empty one, and a document always ends with the end id. Null ids come first; documents with equal
 ids are ordered by the hash of the text, and repeated rows are written each for itself. Empty tables give files without
@@ -25,31 +26,44 @@ blocks. Only the named columns are read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import worker_state
+from tidemark.llm.common import pieces, worker_state
 
 MAGIC = b"RPB1"
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 4000
-LEAST_COUNT = 8
-CELLS = 1 << 20
-MARKS = ".,;:!?|%$&#*"
+RULES_A_ROUND = 8000
+LEAST_COUNT = 8  # a rule takes 12 bytes in the file, and each pair that it replaces saves 2
+CELLS = 1 << 18
+LATIN = "\u0250"  # below it nothing is composed, and letters are letters to every version of Unicode
+PLAIN = r"^[\x{00}-\x{12F}\x{131}-\x{24F}]*$"  # of these each has one lower-case form, one character long
+#: a word that ends in marks behind a letter or digit
+CORE = r"(?s)^(?P<core>.*[\p{L}\p{N}])(?P<tail>[.,;:!?|%$&#*]+)$"
 CACHE = 400_000
+PIECE = 8 << 20  # bytes of text that are encoded together
 BLOCKS = "task int, start_in_task long, n_docs int, n_tokens long, payload binary"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte above 127 and below the vocabulary's: printable ones for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class Words:
-    """A tokenizer whose ids of whole words are kept. Made once in a worker."""
+    """A tokenizer whose ids of word pieces are kept, numbered. Made once in a worker."""
 
     def __init__(self, spec: str):
         import os
@@ -61,60 +75,103 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         rules = json.loads(spec)
         steps = (rules.get("normalizer") or {}).get("normalizers", [])
         splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
         # lower-casing, and letters apart from marks
         self.lowers = any(x["type"] == "Lowercase" for x in steps) and any(r"|[^\s\p{L}\p{N}]+" in str(x.get("pattern", {}).get("Regex")) for x in splits)
-        self.starts = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, None))
-
-    def encode_new(self, words: list[str]) -> list[bytes]:
-        """Ids of words, in one call: a special token stands between them, so their pre-tokens never meet."""
-        plain = [w for w in words if self.mark is not None and not any(c in w for c in self.starts)]
-        found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(ids == self.mark_id)
+        # a word of letters is one pre-token, so the model's ids of it are the tokenizer's
+        self.direct = self.lowers and any(x["type"] == "ByteLevel" and not x.get("add_prefix_space") for x in splits)
+        self.letters = byte_letters()
+        decoder = self.tokenizer.get_added_tokens_decoder()
+        first = sorted({re.escape(t.content[0]) for t in decoder.values()})
+        self.begins = "|".join(first)
+        self.mark, self.mark_id = next(((t.content, i) for i, t in decoder.items() if t.special), (None, None))
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all pieces but the empty one, which has number 0."""
+        self.number: dict[str, int] = {"": 0}
+        self.begin, self.count = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.ids = np.zeros(0, np.int32)
+
+    def joined(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of words, many in a call: a special token stands between them, so their pre-tokens never meet."""
+        found: dict[str, list[int]] = {}
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids
+            cuts = [i for i, x in enumerate(ids) if x == self.mark_id]
             if len(cuts) == len(part) - 1:
-                raw = ids.tobytes()
-                starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
-                found.update((w, raw[i:j]) for w, i, j in zip(part, starts, ends, strict=True))
+                found.update((w, ids[i:j]) for w, i, j in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+        return found
+
+    def encode_new(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Lower-case words of Latin letters go to the library's model, their bytes spelled in its letters;
+        others go through the whole tokenizer."""
+        model, letters = self.tokenizer.model.tokenize, self.letters
+        found: dict[str, list[int]] = {}
+        if self.direct:
+            for w in words:
+                if w.isalpha() and w.islower() and max(w) < LATIN:
+                    found[w] = [t.id for t in model(w if w.isascii() else "".join([letters[b] for b in w.encode()]))]
         rest = [w for w in words if w not in found]
-        found.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        if self.mark is not None:
+            begins = re.compile(self.begins).search
+            found |= self.joined([w for w in rest if not begins(w)])
+            rest = [w for w in rest if w not in found]
+        found.update((w, e.ids) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [found[w] for w in words]
 
-    def parts(self, word: str) -> tuple[str, ...]:
-        """Pieces whose ids make up those of the word."""
-        # a word that holds the beginning of an added token is left as it is: those are found before lower-casing
-        if not self.lowers or not word.isascii() or any(c in word for c in self.starts):
-            return (word,)
-        core = word.rstrip(MARKS)
-        if core and len(core) < len(word) and core[-1].isalnum():
-            return core.lower(), word[len(core) :]
-        return (word.lower(),)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        missing = set().union(*split).difference(self.known)
-        kept = missing & self.older.keys()
-        self.known.update((w, self.older[w]) for w in kept)
-        new = missing - kept
-        # marks behind a word are pre-tokens of their own, and ASCII case makes no difference: most new words are old cores
-        parted = {w: self.parts(w) for w in new}
-        need = {p for parts in parted.values() for p in parts}
-        core = {p: i for p in need if (i := self.known.get(p) or self.older.get(p)) is not None}
-        fresh = list(need - core.keys())
-        core.update(zip(fresh, self.encode_new(fresh), strict=True))
-        self.known.update(core)
-        self.known.update((w, b"".join([core[p] for p in parts])) for w, parts in parted.items())
-        ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)), np.int32) for words in split]
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of these words, which differ; new ones are encoded and numbered."""
+        names = words.to_pylist()
+        get = self.number.get
+        out = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [names[i] for i in missing.tolist()]
+            ids = self.encode_new(new)
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            out[missing] = np.arange(len(self.begin), len(self.begin) + len(new))
+            self.number.update(zip(new, out[missing].tolist(), strict=True))
+            self.begin = np.concatenate((self.begin, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)))
+            self.count = np.concatenate((self.count, count.astype(np.int32)))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))))
+        return out
+
+    def parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word as a piece and marks behind it, whose ids together are the word's: marks behind a letter or digit are a
+        pre-token of their own, and case makes no difference among Latin letters. A word that holds the beginning of an added token is left
+        as it is, for those come before lower-casing."""
+        none = pa.scalar("", pa.string())
+        if not self.lowers:
+            return words, pc.if_else(pc.is_valid(words), none, words)
+        plain = pc.match_substring_regex(words, PLAIN)
+        if self.begins:
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(words, self.begins)))
+        low = pc.if_else(plain, pc.utf8_lower(words), words)
+        found = pc.extract_regex(low, CORE)
+        both = pc.and_(plain, pc.is_valid(found))
+        return pc.if_else(both, pc.struct_field(found, "core"), low), pc.if_else(both, pc.struct_field(found, "tail"), none)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.number) > CACHE:
+            self.clear()
+        given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(given.fill_null(""), "\n", " "), " ")
+        ends = 2 * np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = split.flatten().dictionary_encode()
+        pair = pa.concat_arrays(self.parted(coded.dictionary)).dictionary_encode()
+        number = self.numbers(pair.dictionary).astype(np.int32)[pair.indices.to_numpy()]
+        words, n = coded.indices.to_numpy(), len(coded.dictionary)
+        sequence = np.stack((number[:n][words], number[n:][words]), axis=1).ravel()
+        count = self.count[sequence]
+        stops = np.cumsum(count, dtype=np.int64)
+        held = np.flatnonzero(count)
+        ids = self.ids[np.repeat((self.begin[sequence[held]] - (stops - count)[held]), count[held]) + np.arange(stops[-1] if len(stops) else 0)]
+        return np.split(ids, np.concatenate(([0], stops))[ends][:-1]) if len(ends) else []
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,27 +180,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
     rules: list[np.ndarray] = []
     n_rules = 0
     symbols = ids.astype(np.uint32)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or n_rules >= most:
-            break
+    while len(symbols) > 1 and n_rules < most:
         left, right = symbols[:-1], symbols[1:]
-        cell = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int32)
+        cell = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int32)
         inner = ends[(ends > 0) & (ends < len(symbols))] - 1
         cell[inner] = CELLS  # a pair across documents
         counts = np.bincount(cell, minlength=CELLS + 1)
         counts[CELLS] = 0
         take = min(RULES_A_ROUND, most - n_rules)
-        top = np.argpartition(counts, CELLS + 1 - take)[CELLS + 1 - take :]
-        top = top[counts[top] >= LEAST_COUNT]
+        top = np.flatnonzero(counts >= LEAST_COUNT)
+        if len(top) > take:
+            top = top[np.argpartition(counts[top], len(top) - take)[len(top) - take :]]
         if not len(top):
             break
-        place = np.zeros(CELLS + 1, np.int64)
-        place[cell] = np.arange(len(cell))  # some pair of each cell; the others of the cell stay as they are
-        made = np.stack((symbols[place[top]], symbols[place[top] + 1]), axis=1)
         rule = np.full(CELLS + 1, -1, np.int32)
         rule[top] = np.arange(len(top))
-        at = np.flatnonzero(rule[cell] >= 0)
-        which = rule[cell[at]]
+        which = rule[cell]
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
+        place = np.zeros(len(top), np.int64)
+        place[which] = at  # some pair of each cell; the others of the cell stay as they are
+        made = np.stack((symbols[place], symbols[place + 1]), axis=1)
         same = (left[at] == made[which, 0]) & (right[at] == made[which, 1])
         at, which = at[same], which[same]
         # of pairs that overlap in a row, every other one is replaced, from the left
@@ -151,6 +208,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
         first = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         keep = (np.arange(len(at)) - first) % 2 == 0
         at, which = at[keep], which[keep]
+        # a rule that others have left too few pairs isn't worth its room
+        often = np.bincount(which, minlength=len(made)) >= LEAST_COUNT
+        if not often.any():
+            break
+        keep = often[which]
+        at, which, made = at[keep], (np.cumsum(often) - 1)[which[keep]], made[often]
         symbols = symbols.copy()
         symbols[at] = vocabulary + n_rules + which
         stays = np.ones(len(symbols), bool)
@@ -250,16 +313,13 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, out: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         tail = np.array([end_id], np.int32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = words.encode([t or "" for t in part["text"].to_pylist()])
-                for doc_id, own in zip(part["doc_id"].to_pylist(), found, strict=True):
-                    if held and held + len(own) >= BLOCK_TOKENS:
-                        yield block()
-                    doc_ids.append(doc_id)
-                    ids.append(np.concatenate((own, tail)))
-                    held += len(own) + 1
+        for batch in pieces(batches, "text", PIECE):
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"]), strict=True):
+                if held and held + len(own) >= BLOCK_TOKENS:
+                    yield block()
+                doc_ids.append(doc_id)
+                ids.append(np.concatenate((own, tail)))
+                held += len(own) + 1
         if ids:
             yield block()
 
