@@ -5,11 +5,13 @@ lexicon keeps the terms whose inverse document frequency ln(N / df) lies within
 lexicon: terms in at least a share s of the documents number at most (mean distinct terms of a document) / s, whatever
 the size of the corpus. That is checked before it is broadcast; beyond MAX_BROADCAST terms the join shuffles instead.
 
-Every term of the lexicon draws the subsets it belongs to from its hash; subset j keeps one term in 2 ** (1 + j // 2).
-A document's distinct terms are sorted, and each subset of them is hashed. The fingerprint is the list of these hashes.
-Dense subsets change with almost any edit, sparse ones with few, so the share of hashes that agree grades likeness:
-among the subsets that hold a term of either text, the share with equal hashes. A text without any term of the lexicon
-has a hash of all its characters as its fingerprint, and is like only its equals.
+Every term of the lexicon draws the subsets it belongs to from its hash; subset j keeps one term in 2 ** RATES[j]. A
+document's distinct terms are sorted within each subset, and each subset that holds any is hashed. The fingerprint is the
+list of these hashes, each behind the number of its subset. Most subsets are so sparse that a text of any length has some
+that hold a term or two of it: these stay the same with the chance that a term stays, while the few dense ones change
+with almost any edit. So the share of hashes that agree grades likeness: among the subsets that hold a term of either
+text, the share with equal hashes. A text without any term in a subset has a hash of all its characters as its
+fingerprint, and is like only its equals.
 
 Null text counts as an empty one. Ties of doc_id are ordered by text. Repeated rows get a row each. Empty tables give
 empty results. Only the id and text columns are read. The work is DataFrame expressions throughout.
@@ -26,11 +28,12 @@ from pyspark.sql.window import Window
 from tidemark.llm import order
 from tidemark.llm.common import materialized
 
-SUBSETS = 16
+#: log2 of one over the share of the lexicon that each subset keeps: few dense subsets, eight of each sparse rate
+RATES = (1, 1, 2, 2, *(rate for rate in range(3, 13) for _ in range(8)))
+HASH_BITS = 48
 LEAST_IDF, MOST_IDF = math.log(5), math.log(2000)
 MAX_BROADCAST = 2_000_000
 SEPARATOR = r"[^\p{L}\p{N}]+"
-CODE = "code bigint"
 END = "\x01"  # stands for no term; holds a document's row together when none of its terms is in the lexicon
 
 
@@ -39,49 +42,61 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), SEPARATOR))
 
 
-def subset_bits(term: Column) -> Column:
-    """Bit j tells whether the term belongs to subset j."""
-    bits = F.lit(0).cast("long")
-    for j in range(SUBSETS):
-        rate = 1 << (1 + j // 2)
-        bits = bits + F.when(F.pmod(F.xxhash64(term, F.lit(j)), F.lit(rate)) == 0, F.lit(1 << j)).otherwise(F.lit(0))
-    return bits
+def memberships(term: Column) -> Column:
+    """For each subset that the term belongs to the subset's number in front of HASH_BITS bits of the term's hash."""
+    own = F.xxhash64(term, F.lit("code")).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    draws = [F.when(F.xxhash64(term, F.lit(j)).bitwiseAND(F.lit((1 << rate) - 1)) == 0, F.lit(j << HASH_BITS).bitwiseOR(own)) for j, rate in enumerate(RATES)]
+    return F.array_compact(F.array(*draws))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
-    """term (its 64-bit hash), df and code (48 bits of the hash, then the subset bits) of the terms in the band."""
+    """term (its 64-bit hash), df and codes (see memberships) of the terms in the band."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = docs.agg(F.count(F.lit(1))).first()[0]
     held = docs.select(F.explode(terms(text)).alias("w")).filter("w <> ''").select(F.xxhash64("w").alias("term"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # df / N within [exp(-most), exp(-least)]
     band = df.filter(F.col("df").between(math.exp(-most_idf) * n, math.exp(-least_idf) * n))
-    code = F.shiftleft(F.shiftright(F.xxhash64("term", F.lit("code")), 16), 16).bitwiseOR(subset_bits(F.col("term")))
-    return band.select("term", "df", code.alias("code"))
+    return band.select("term", "df", memberships(F.col("term")).alias("codes"))
 
 
 def hashes(codes: Column) -> Column:
-    """The hash of each subset of sorted codes; 0 where a subset is empty."""
-    codes = F.sort_array(codes)
+    """From the codes of a text's terms the hash of each subset that holds any, behind the subset's number, ascending."""
+    none = F.array().cast("array<bigint>")
 
-    def one(j: int) -> Column:
-        kept = F.filter(codes, lambda c: c.bitwiseAND(F.lit(1 << j)) != 0)
-        return F.when(F.size(kept) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(kept))
+    def of(code: Column) -> Column:
+        return F.shiftright(code, HASH_BITS)
 
-    return F.array(*(one(j) for j in range(SUBSETS)))
+    def entry(state: Column) -> Column:
+        return F.array(F.shiftleft(state["subset"], HASH_BITS).bitwiseOR(state["hash"].bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+
+    def step(state: Column, code: Column) -> Column:
+        # sorted codes: the terms of a subset stand together, in order
+        same = of(code) == state["subset"]
+        fresh = same | (state["subset"] < 0)
+        return F.struct(
+            of(code).alias("subset"),
+            F.when(same, F.xxhash64(state["hash"], code)).otherwise(F.xxhash64(code)).alias("hash"),
+            F.when(fresh, state["out"]).otherwise(F.concat(state["out"], entry(state))).alias("out"),
+        )
+
+    start = F.struct(F.lit(-1).cast("long").alias("subset"), F.lit(0).cast("long").alias("hash"), none.alias("out"))
+    return F.aggregate(F.sort_array(codes), start, step, lambda s: F.when(s["subset"] < 0, none).otherwise(F.concat(s["out"], entry(s))))
 
 
 def shown(found: Column, exact: Column) -> Column:
     """The fingerprint as text."""
-    empty = F.forall(found, lambda h: h == 0)
-    return F.when(empty, F.concat(F.lit("text:"), exact)).otherwise(F.array_join(F.transform(found, lambda h: F.lower(F.hex(h))), "."))
+    return F.when(F.size(found) == 0, F.concat(F.lit("text:"), exact)).otherwise(F.array_join(F.transform(found, lambda h: F.lower(F.hex(h))), "."))
 
 
 def likeness(a: Column, b: Column, exact_a: Column, exact_b: Column) -> Column:
     """Share of equal hashes among the subsets that hold a term of either text."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    held = F.size(F.filter(both, lambda p: (p["a"] != 0) | (p["b"] != 0)))
-    same = F.size(F.filter(both, lambda p: (p["a"] != 0) & (p["a"] == p["b"])))
+
+    def subsets(found: Column) -> Column:
+        return F.transform(found, lambda h: F.shiftright(h, HASH_BITS))
+
+    held = F.size(F.array_union(subsets(a), subsets(b)))
+    same = F.size(F.array_intersect(a, b))
     return F.when(held == 0, (exact_a == exact_b).cast("double")).otherwise(same / F.greatest(held, F.lit(1)))
 
 
@@ -91,21 +106,24 @@ def _with_codes(rows: DataFrame, words: DataFrame, keys: list[str], texts: list[
     parts = [F.struct(F.lit(i).alias("which"), terms(F.col(t)).alias("held"), *none) for i, t in enumerate(texts)]
     parts.append(F.struct(F.lit(-1).alias("which"), F.array(F.lit(END)).alias("held"), *(F.col(c) for c in carried)))
     wide = rows.select(*keys, F.explode(F.array(*parts)).alias("p")).select(*keys, "p.which", *(f"p.{c}" for c in carried), F.explode("p.held").alias("w"))
-    ended = words.sparkSession.range(1).select(F.xxhash64(F.lit(END)).alias("term"), F.lit(0).cast("long").alias("code"))
-    known = words.select("term", "code").unionByName(ended)
+    ended = words.sparkSession.range(1).select(F.xxhash64(F.lit(END)).alias("term"), F.array().cast("array<bigint>").alias("codes"))
+    known = words.select("term", "codes").unionByName(ended)
     if words.count() <= MAX_BROADCAST:
         known = F.broadcast(known)
     found = wide.withColumn("term", F.xxhash64("w")).drop("w").join(known, "term")
-    lists = [F.collect_list(F.when(F.col("which") == i, F.col("code"))).alias(f"{t}_codes") for i, t in enumerate(texts)]
+    lists = [F.flatten(F.collect_list(F.when(F.col("which") == i, F.col("codes")))).alias(f"{t}_codes") for i, t in enumerate(texts)]
     return found.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in carried), *lists)
 
 
 def fingerprints(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint and hashes (array) of every document; doc_id has to tell rows apart."""
+    """doc_id, fingerprint and hashes (of each subset, 0 where it holds no term) of every document; doc_id has to tell rows
+    apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("exact", F.md5("text"))
-    coded = _with_codes(rows, words, ["doc_id"], ["text"], ["exact"]).withColumn("hashes", hashes(F.col("text_codes")))
-    return coded.select("doc_id", shown(F.col("hashes"), F.col("exact")).alias("fingerprint"), "hashes")
+    coded = _with_codes(rows, words, ["doc_id"], ["text"], ["exact"]).withColumn("found", hashes(F.col("text_codes")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(len(RATES) - 1).cast("long"))
+    dense = F.transform(every, lambda j: F.coalesce(F.get(F.filter("found", lambda h: F.shiftright(h, HASH_BITS) == j), F.lit(0)), F.lit(0).cast("long")))
+    return coded.select("doc_id", shown(F.col("found"), F.col("exact")).alias("fingerprint"), dense.alias("hashes"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
@@ -119,7 +137,9 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return spark.createDataFrame([], schema)
     words = materialized(lexicon(rows, "text", least_idf, most_idf), "lexicon")
     within = Window.partitionBy("_bucket").orderBy("_guest", "_key", "text")
-    dealt = order.with_guests(rows, cuts).withColumns({"pos": F.row_number().over(within), "next": F.lead("text").over(within)})
+    inner = order.finer(rows, cuts)
+    inner = inner if inner is None else materialized(inner, "inner")
+    dealt = order.with_guests(rows, cuts, inner=inner).withColumns({"pos": F.row_number().over(within), "next": F.lead("text").over(within)})
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - half), F.coalesce("next", F.lit("")).substr(F.lit(1), half))
     made = dealt.withColumn("edited", edited).select(
