@@ -68,3 +68,47 @@ def test_ratio_against_plain_counts(spark):
     assert math.isclose(ratios[buckets[0]], math.log((1 + k) / (1 + k)), abs_tol=1e-6)
     only = set(buckets[:5].tolist()) - set(buckets[5:].tolist())
     assert all(math.isclose(ratios[b], math.log((1 + k) / (0.5 + k)), rel_tol=1e-5) for b in only)
+
+
+def test_keys_and_selection_against_plain_python(spark):
+    import xxhash
+
+    docs, labels = made(120)
+    got = {r["doc_id"]: r for r in resampling.resample(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS), keep=0.5, seed=3).collect()}
+    good = {d for d, q, t, _ in labels if d is not None and d < 120 and q == 1 and t == 0 and d != 5}
+    raw, target, own = np.zeros(resampling.BUCKETS), np.zeros(resampling.BUCKETS), {}
+    for doc_id, text, *_ in docs:
+        for _, _, buckets in resampling.features(pa.array([text or ""])):
+            own[doc_id] = buckets
+            np.add.at(raw, buckets, 1)
+            if doc_id in good:
+                np.add.at(target, buckets, 1)
+    expected = raw * (target.sum() / raw.sum())
+    ratio = np.log((target + resampling.SMOOTH) / (expected + resampling.SMOOTH))
+    keys = {}
+    for doc_id, buckets in own.items():
+        if not len(buckets):
+            assert got[doc_id]["key"] is None
+            continue
+        assert math.isclose(got[doc_id]["log_weight"], ratio[buckets].sum(), rel_tol=1e-4, abs_tol=1e-4)
+        if doc_id is None:
+            continue
+        h = xxhash.xxh64(int(3).to_bytes(4, "little"), seed=xxhash.xxh64(int(doc_id).to_bytes(8, "little", signed=True), seed=42).intdigest()).intdigest()
+        uniform = (h % (1 << 52) + 0.5) / (1 << 52)
+        keys[doc_id] = got[doc_id]["log_weight"] / math.sqrt(len(buckets)) - math.log(-math.log(uniform))
+        assert math.isclose(got[doc_id]["key"], keys[doc_id], rel_tol=1e-9, abs_tol=1e-9)
+    whole = sorted((r["key"] for r in got.values() if r["key"] is not None), reverse=True)
+    assert all(r["selected"] == (r["key"] is not None and r["key"] >= whole[round(0.5 * len(docs)) - 1]) for r in got.values())
+
+
+def test_selection_frequencies_follow_the_weights(spark):
+    """Of many copies of a few scores, each key is the greatest as often as its weight says."""
+    from pyspark.sql import functions as F
+
+    scores = [0.0, 0.5, 1.0, 2.0]
+    draws = spark.range(40_000).select((F.col("id") * 4).alias("base"))
+    keys = [(F.lit(s) / 1.0 + resampling.noise(F.col("base") + i, 7)).alias(f"k{i}") for i, s in enumerate(scores)]
+    best = draws.select(*keys).select(*((F.col(f"k{i}") == F.greatest("k0", "k1", "k2", "k3")).cast("int").alias(f"k{i}") for i in range(4)))
+    found = best.agg(*(F.avg(f"k{i}") for i in range(4))).first()
+    weights = np.exp(scores) / np.exp(scores).sum()
+    assert np.allclose(list(found), weights, atol=0.012)

@@ -5,11 +5,15 @@ raw model counts them over all documents, the target model over up to `most_targ
 (quality 1, not toxic), picked by the hash of their id. A feature's log ratio is ln((t + K) / (e + K)), where t is its
 count in the target text and e the count that the raw model leads to expect there; K keeps rare features neutral.
 
-A document's log_weight is the sum over its features; its score is that over the square root of their number, so that
-long texts neither win nor lose by length. The sampling key is SHARPNESS * score plus Gumbel noise from the hash of the
-id, and the documents with the `keep` share of greatest keys are selected: a sample without replacement in proportion to
-exp(SHARPNESS * score). By default `keep` is the share of good ones among labelled documents. The threshold is found
-exactly, by histograms of 4096 bins that are narrowed until one key remains; rows that tie with it are selected too.
+A document's log_weight is the sum over its features: the log of its importance weight. Weights are tempered by length:
+the score is log_weight over the square root of the number of features, so that long texts neither win nor lose by their
+length. The sampling key is score / `temperature` plus Gumbel noise from the hash of the id, and the documents with the
+`keep` share of greatest keys are selected: a sample without replacement in which each next document is drawn in
+proportion to exp(score / temperature). By default `keep` is the share of good ones among labelled documents. The
+threshold is found exactly, by histograms of 4096 bins that are narrowed until one key remains; rows that tie with it are
+selected too.
+
+Counts are added up in two steps, in slices of buckets, so no task reads what all others have counted.
 
 Texts that are null or without words have null weights and are never selected. Without any labelled good document all
 scores are 0. Repeated rows get equal keys. Labels for unknown documents do nothing, and of several labels of a document
@@ -22,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
@@ -30,7 +35,7 @@ from tidemark.llm.common import materialized
 
 BUCKETS = 1 << 18
 SMOOTH = 3.0
-SHARPNESS = 10.0
+SLICES, GROUPS = 16, 64
 BINS = 4096
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
@@ -54,6 +59,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def log_ratios(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     """Log ratio of every bucket; docs: doc_id, text; targets: doc_id, of a bounded number."""
 
+    width, schema = BUCKETS // SLICES, "slice int, part int, counts binary"
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -62,14 +69,26 @@ def log_ratios(docs: DataFrame, targets: DataFrame) -> np.ndarray:
                 raw += np.bincount(buckets, minlength=BUCKETS)
                 chosen = np.repeat(good[first : first + len(counts)], counts)
                 target += np.bincount(buckets[chosen], minlength=BUCKETS)
-        found = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(raw[found]), pa.array(target[found])], names=["bucket", "raw", "target"])
+        group = TaskContext.get().partitionId() % GROUPS
+        rows = [(i, group, np.stack((raw, target))[:, i * width : (i + 1) * width].tobytes()) for i in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["slice", "part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch["slice"].to_pylist(), batch["counts"], strict=True):
+                own = np.frombuffer(counts.as_buffer(), np.int64)
+                held[i] = held[i] + own if i in held else own.copy()
+        arrays = [pa.array(list(held), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["slice", "part", "counts"])
 
     flagged = docs.join(F.broadcast(targets.withColumn("good", F.lit(True))), "doc_id", "left")
-    counted = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(count, "bucket long, raw long, target long")
-    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counted = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(count, schema)
+    added = counted.repartition("slice", "part").mapInArrow(add, schema).repartition("slice").mapInArrow(add, schema)
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
+    for r in added.collect():  # SLICES rows
+        at = slice(r["slice"] * width, (r["slice"] + 1) * width)
+        raw[at], target[at] = np.frombuffer(r["counts"], np.int64).reshape(2, width)
     expected = raw * (target.sum() / max(raw.sum(), 1))
     return np.log((target + SMOOTH) / (expected + SMOOTH)).astype(np.float32)
 
@@ -115,13 +134,19 @@ def threshold(keys: DataFrame, k: int) -> float | None:
     return low
 
 
+def noise(id_: Column, seed: int) -> Column:
+    """Standard Gumbel noise from the hash of an id."""
+    uniform = (F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
 def good_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id and good: quality 1 and not toxic; a null counts as neither."""
     good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
     return labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(good).alias("good"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 1, most_targets: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 1, most_targets: int = 20_000, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_features, log_weight, score, key, selected of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     judged = good_labels(labels)
@@ -131,8 +156,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed
     targets = judged.filter(F.col("good") & (F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1 << 30)) < int(share * (1 << 30)))).select("doc_id")
     if keep is None:
         keep = (n_good or 0) / n if n else 1.0
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = weighed(docs, log_ratios(docs, targets)).withColumn("key", SHARPNESS * F.col("score") - F.log(-F.log(uniform)))
+    scored = weighed(docs, log_ratios(docs, targets)).withColumn("key", F.col("score") / temperature + noise(F.col("doc_id"), seed))
     scored = materialized(scored, "scores")
     least = threshold(scored, round(keep * scored.count()))
     chosen = F.lit(False) if least is None else F.coalesce(F.col("key") >= least, F.lit(False))
