@@ -11,7 +11,7 @@ exact weighted Jaccard similarity of their shingles, sum of least over sum of gr
 
 Equal texts are searched once, by their hash. Null and empty texts, and items without a word, match nothing. Null
 doc_ids are reported as null. Repeated rows give equal rows. Empty tables give empty results. Only the named columns are
-read. The benchmark side is broadcast only up to MAX_BROADCAST rows, which is counted; beyond that the joins shuffle.
+read. The benchmark side is broadcast only up to MAX_BROADCAST bytes, which are added up; beyond that the joins shuffle.
 The work is DataFrame expressions throughout.
 """
 
@@ -27,7 +27,9 @@ from tidemark.llm.common import materialized
 SHINGLE, SIMILAR = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 64 << 20
+ROW_BYTES = 64  # of a row besides its arrays
+SHORT = 256  # up to so many hashes places are looked up one by one
 SEPARATOR = r"[^\p{L}\p{N}]+"
 NO_ID = -(1 << 63)
 
@@ -46,7 +48,20 @@ def grams(held: Column, size: Column | int) -> Column:
 def numbered(held: Column) -> Column:
     """Hashes in which repeats differ by their number, so that set operations count them."""
     held = F.sort_array(held)
-    return F.transform(held, lambda h, i: F.xxhash64(h, i.cast("long") - F.array_position(held, h)))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(24))))
+
+    def below(h: Column) -> Column:
+        """How many are less than h: by halving, so that a long item doesn't cost the square of its length."""
+
+        def step(at: Column, by: Column) -> Column:
+            return F.when(F.coalesce(F.get(held, at + by - 1) < h, F.lit(False)), at + by).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), step).cast("long") + 1
+
+    def all_numbered(first) -> Column:
+        return F.transform(held, lambda h, i: F.xxhash64(h, i.cast("long") - first(h)))
+
+    return F.when(F.size(held) <= SHORT, all_numbered(lambda h: F.array_position(held, h))).otherwise(all_numbered(below))
 
 
 def simhash(held: Column) -> Column:
@@ -72,9 +87,12 @@ def block_values(fingerprint: Column, radius: int) -> Column:
     return F.concat(*map(around, range(BLOCKS)))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has been counted to be small enough."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+def small(df: DataFrame, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """df with a broadcast hint if its bytes add up to little enough; arrays: its columns of hashes."""
+    size = F.lit(ROW_BYTES).cast("long")
+    for c in arrays:
+        size = size + 8 * F.size(c)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST else df
 
 
 def indexed(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +145,7 @@ def leaks(
 
     # exact weighted similarity
     pairs = near.join(cut.select("text_md5", "n", "start", numbered(F.col("held")).alias("a")), ["text_md5", "n", "start"])
-    pairs = pairs.join(small(items.select("item_id", numbered(F.col("held")).alias("b"))), "item_id")
+    pairs = pairs.join(small(items.select("item_id", numbered(F.col("held")).alias("b")), ("b",)), "item_id")
     both = F.size(F.array_intersect("a", "b"))
     judged = pairs.withColumn("similarity", both / (F.size("a") + F.size("b") - both)).filter(F.col("similarity") >= similar)
     best = judged.groupBy("text_md5", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"))).alias("m"))
