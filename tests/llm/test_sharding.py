@@ -44,3 +44,52 @@ def test_overflow_goes_clockwise_only():
 def test_same_result_twice(spark):
     rows = [(i, f"t{i % 40}", "x", 1) for i in range(300)]
     assert sorted(run(spark, rows)) == sorted(run(spark, rows))
+
+
+def walked(slices, n_shards, replicas):
+    """The same by walking the ring cell by cell from each slice's own."""
+    at = dict(sharding.ring(n_shards, replicas))
+    n = sum(k for *_, k in slices)
+    room = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
+    out = []
+    for cell, part, k in sorted(slices):
+        for _ in range(k):
+            c = cell
+            while c not in at or room[at[c]] == 0:
+                c = (c + 1) % sharding.CELLS
+            room[at[c]] -= 1
+            out.append((cell, part, at[c]))
+    return out
+
+
+@pytest.mark.parametrize("n_shards", [3, 24])
+def test_against_a_plain_walk_of_the_ring(n_shards):
+    import random
+
+    rnd = random.Random(n_shards)
+    slices = [(c, 0, rnd.choice([1, 1, 2, 9])) for c in sorted(rnd.sample(range(sharding.CELLS), 300))] + [(77, 1, 40)]
+    slices = list({(c, p): (c, p, k) for c, p, k in slices}.values())
+    got = []
+    for cell, part, first, last, shard, _ in sharding.place(slices, n_shards, 32):
+        got += [(cell, part, shard)] * (last - first + 1)
+    assert sorted(got) == sorted(walked(slices, n_shards, 32))
+
+
+def moved(n=200_000):
+    """Share of rows whose shard changes from 24 to 25 shards, rows spread evenly over the cells."""
+    import numpy as np
+
+    cells = np.bincount(np.random.default_rng(1).integers(0, sharding.CELLS, n), minlength=sharding.CELLS)
+    slices = [(c, 0, int(k)) for c, k in enumerate(cells) if k]
+
+    def dealt(n_shards):
+        out = {}
+        for cell, _, first, last, shard, _ in sharding.place(slices, n_shards, 32):
+            out.setdefault(cell, []).extend([shard] * (last - first + 1))
+        return np.concatenate([out[c] for c, _, _ in slices])
+
+    return float((dealt(24) != dealt(25)).mean())
+
+
+def test_growth_moves_far_less_than_dealing_anew():
+    assert moved() < 0.5  # dealing rows out by a hash modulo the number of shards would move 0.96 of them
