@@ -502,7 +502,8 @@ def by_string(rest: DataFrame) -> DataFrame:
     """d, i, hi, least of runs (d, i, hi, lo, content), for anchors of any size: the strings are grouped by themselves."""
     starts = F.sequence(F.lit(1), F.length("content") - (LENGTH - 1))
     strings = rest.select("d", "i", "hi", "lo", F.posexplode(F.transform(starts, lambda k: F.substring("content", k, F.lit(LENGTH)))).alias("at", "s"))
-    least = strings.groupBy("s").agg(F.min("lo").alias("least"))
+    # written, so that the join's sides are plain shuffles, which the planner splits where a string is hot
+    least = materialized(strings.groupBy("s").agg(F.min("lo").alias("least")), "strings")
     own = strings.join(least, "s").groupBy("d", "i", "hi").agg(F.sort_array(F.collect_list(F.struct("at", "least"))).alias("own"))
     return own.select("d", "i", "hi", F.col("own.least").alias("least"))
 
