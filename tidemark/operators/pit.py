@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BUCKETS = 1 << 16  # of a batch that is appended
 SPLIT_RATIOS = (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 15.0, 20.0, 1.5)
 
 
@@ -34,16 +35,16 @@ def append(existing: DataFrame | None, rows: DataFrame, keys: list[str], version
     if taken := {"seq", "schema_version"} & set(rows.columns):
         raise ValueError(f"reserved columns: {sorted(taken)}")
     first = 0 if existing is None else existing.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-    order = [c for c in rows.columns]
-    # numbered within ranges of the order and shifted by the ranges before, so no task sorts everything
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = {r["_p"]: (r["lo"], r["n"]) for r in parts.groupBy("_p").agg(F.min("_i").alias("lo"), F.count(F.lit(1)).alias("n")).collect()}
-    offset, start = F.lit(0), first
-    for p in sorted(sizes):
-        lo, n = sizes[p]
-        offset = F.when(F.col("_p") == p, F.col("_i") - lo + start).otherwise(offset)
-        start += n
-    stamped = parts.withColumn("seq", offset.cast("long")).withColumn("schema_version", F.lit(version)).drop("_p", "_i")
+    # numbered within buckets of (keys, event_date), by content, and shifted by the sizes of the buckets before: both jobs
+    # see the same buckets whatever the partitioning, and versions of one event are numbered in one bucket, in order
+    bucket = F.pmod(F.xxhash64(*keys, "event_date"), F.lit(BUCKETS))
+    placed = rows.withColumn("_b", bucket)
+    sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")  # BUCKETS rows at most
+    offsets = sizes.select("_b", (before + first).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(*rows.columns)) - 1
+    stamped = placed.withColumn("_i", place).join(F.broadcast(offsets), "_b")
+    stamped = stamped.select(*rows.columns, (F.col("_first") + F.col("_i")).cast("long").alias("seq"), F.lit(version).alias("schema_version"))
     return stamped if existing is None else existing.unionByName(stamped)
 
 
@@ -181,3 +182,85 @@ def panel_report(panel: DataFrame, key: str = "instrument", date: str = "date")
         F.min(date).alias("first_date"),
         F.max(date).alias("last_date"),
     )
+
+
+def append_checked(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """append(), if the batch says nothing that is known already of the same (keys, event_date, knowledge_date)."""
+    on = [*keys, "event_date", "knowledge_date"]
+    if rows.join(existing.select(*on), on, "left_semi").limit(1).count():
+        raise ValueError("the batch holds versions that are known already")
+    return append(existing, rows, keys)
+
+
+def mint(existing: DataFrame, keys: DataFrame, key: str = "symbol", id_col: str = "id") -> DataFrame:
+    """id, key of every key: the id it has, or one that follows the greatest; new ids go by key order within buckets."""
+    first = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    known = existing.groupBy(key).agg(F.min(id_col).alias(id_col))
+    new = keys.select(key).filter(F.col(key).isNotNull()).distinct().join(known, key, "left_anti")
+    placed = new.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n") + first).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    minted = placed.withColumn("_i", place).join(F.broadcast(offsets), "_b").select((F.col("_first") + F.col("_i")).cast("long").alias(id_col), key)
+    return keys.select(key).distinct().join(known, key).select(F.col(id_col).cast("long").alias(id_col), key).unionByName(minted)
+
+
+def merge_identities(identities: DataFrame, target: int, acquirer: int, effective, knowledge) -> DataFrame:
+    """New versions that close the target's open identifiers at `effective` and name the acquirer as successor."""
+    open_ = identities.filter((F.col("id") == target) & F.col("valid_to").isNull())
+    return open_.withColumns({"valid_to": F.lit(effective).cast("date"), "successor": F.lit(acquirer).cast("long"), "knowledge_date": F.lit(knowledge).cast("timestamp")})
+
+
+#: a Reuters-style code: a root, and an exchange suffix of one to three capitals; a fixed format
+RIC = r"^[A-Za-z0-9]{1,12}(\.[A-Z]{1,3})?$"
+
+
+def ric_mapping(rics: DataFrame, identities: DataFrame, key: str = "ric") -> tuple[DataFrame, DataFrame]:
+    """(id, ric of the well-formed codes, minted where new; the malformed ones)."""
+    good = F.coalesce(F.col(key).rlike(RIC), F.lit(False))
+    return mint(identities.withColumnRenamed("symbol", key), rics.filter(good), key), rics.filter(~good).select(key).distinct()
+
+
+def unified_master(identities: DataFrame, symbology: DataFrame, rics: DataFrame, valid_from: str = "2008-01-01") -> dict[str, DataFrame]:
+    """One master of two vendors: symbology (iid, symbol, valid_from, valid_to) and codes (ric, symbol). A symbol keeps its
+    id or gets one; `instruments`: iid -> id by the latest interval of each iid; `codes`: ric -> id; `overlaps`: intervals
+    of a symbol that run into the next; `minted`: symbols that only the codes have, valid from `valid_from`."""
+    symbols = symbology.select("symbol").unionByName(rics.select("symbol")).distinct()
+    ids = mint(identities, symbols)
+    last = symbology.groupBy("iid").agg(F.max_by("symbol", F.struct("valid_from", "symbol")).alias("symbol"))
+    instruments = last.join(ids, "symbol").select("iid", "id")
+    codes = rics.filter(F.coalesce(F.col("ric").rlike(RIC), F.lit(False))).join(ids, "symbol").select("ric", "id").distinct()
+    only = rics.select("symbol").distinct().join(symbology.select("symbol").distinct(), "symbol", "left_anti")
+    minted = only.join(ids, "symbol").select("id", "symbol", F.lit(valid_from).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    intervals = symbology.join(ids, "symbol").select("id", "symbol", "valid_from", "valid_to")
+    return {"ids": ids, "instruments": instruments, "codes": codes, "minted": minted, "overlaps": identifier_overlaps(intervals)}
+
+
+def vendor_rows(panel: DataFrame, mapping: DataFrame, key: str, date: str, values: list[str], lag_days: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows of a vendor panel as entity, event_date, knowledge_date and values, by a mapping of its ids; the unmapped)."""
+    mapped, rest = mapped_and_quarantined(panel, mapping, key)
+    known = F.date_add(F.col(date).cast("date"), lag_days).cast("timestamp")
+    return mapped.select(F.col("id").alias("entity"), F.col(date).cast("date").alias("event_date"), known.alias("knowledge_date"), *values), rest
+
+
+def membership(announced: DataFrame, at) -> DataFrame:
+    """Members known at `at`: entity, announced, effective, status; the last announcement counts, once it is effective. A
+    delisting without a return is flagged (`return_missing`)."""
+    rows = announced.filter((F.col("announced") <= F.lit(at).cast("timestamp")) & (F.col("effective") <= F.lit(at).cast("date")))
+    last = rows.groupBy("entity").agg(F.max_by(F.struct("status", "effective", "delisting_return"), F.struct("effective", "announced")).alias("s")).select("entity", "s.*")
+    return last.withColumn("return_missing", (F.col("status") == "delisted") & F.col("delisting_return").isNull())
+
+
+def worst_disagreements(left: DataFrame, right: DataFrame, on: list[str], left_col: str, right_col: str, n: int = 10) -> DataFrame:
+    """The n rows of two vendors that differ most, relative to the right side."""
+    both = left.select(*on, F.col(left_col).alias("left")).join(right.select(*on, F.col(right_col).alias("right")), on)
+    return both.withColumn("off", F.abs(F.try_divide("left", "right") - 1)).filter("off IS NOT NULL").orderBy(F.desc("off"), *on).limit(n)
+
+
+def build_panel(raw: DataFrame, key: str = "instrument", date: str = "date") -> DataFrame:
+    """The adjusted price panel with its ten columns, from raw bars: splits are detected, prices divided and volumes
+    multiplied by the product of later ratios; dividends and splits are 0 after adjustment."""
+    adjusted = adjust_splits(detect_splits(raw, key, date), key=key, date=date)
+    k = F.col("adj_factor")
+    prices = [(F.col(c) / k).alias(c) for c in ("open", "high", "low", "close")]
+    return adjusted.select(key, date, *prices, (F.col("volume") * k).alias("volume"), (F.col("close") / k).alias("adj_close"), F.lit(0.0).alias("dividends"), F.lit(0.0).alias("splits"))
