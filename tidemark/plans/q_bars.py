@@ -66,13 +66,48 @@ def bars_dollar(spark, sf_dir):
     return bars.threshold_bars(_ticks(spark, sf_dir), 20000.0, "dollar")
 
 
+P_SQL = "avg(CASE WHEN side > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rn <= 10)"
+BUY_SQL, SELL_SQL = ("coalesce(avg(x) FILTER (WHERE rn <= 10 AND side %s 0), avg(x) FILTER (WHERE rn <= 10))" % sign for sign in (">", "<"))
+VALUE_SQL = {"tick": "CAST(1 AS DOUBLE)", "volume": "CAST(size AS DOUBLE)", "dollar": "price * size"}
+
+
+def _imbalance_sql(kind: str, first: str, ticks: float, span: int) -> str:
+    """Imbalance bars by recursion: `first` is the SQL of the first expected imbalance, over rows of v (instrument, rn, x)."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"""WITH RECURSIVE {SIGNED_SQL}, v AS (SELECT *, side * ({VALUE_SQL[kind]}) AS x FROM signed),
+start AS (SELECT instrument, {first} AS x0 FROM v GROUP BY 1),
+walk AS (SELECT instrument, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS theta, CAST(0 AS BIGINT) AS n, CAST({ticks} AS DOUBLE) AS ticks, CASE WHEN abs(x0) >= 1e-9 THEN x0 WHEN x0 >= 0 THEN 1e-9 ELSE -1e-9 END AS ex, CAST(0 AS BIGINT) AS bar_id, false AS closes FROM start
+  UNION ALL SELECT instrument, rn, CASE WHEN hit THEN 0 ELSE t END, CASE WHEN hit THEN 0 ELSE m END, CASE WHEN hit THEN least(greatest({a} * m + (1 - {a}) * ticks, 1.0), 1e9) ELSE ticks END,
+    CASE WHEN NOT hit THEN ex WHEN abs(nx) >= 1e-9 THEN nx WHEN nx >= 0 THEN 1e-9 ELSE -1e-9 END, bar_id, hit
+  FROM (SELECT *, {a} * t / m + (1 - {a}) * ex AS nx, abs(t) >= greatest(ticks * abs(ex), 1e-9) AS hit
+    FROM (SELECT v.instrument, v.rn, w.theta + v.x AS t, w.n + 1 AS m, w.ticks, w.ex, CASE WHEN w.closes THEN w.bar_id + 1 ELSE w.bar_id END AS bar_id FROM walk w JOIN v ON v.instrument = w.instrument AND v.rn = w.rn + 1))),
+t AS (SELECT s.*, w.bar_id, w.closes FROM signed s JOIN walk w USING (instrument, rn))
+{_bar_sql('t', 'HAVING bool_or(closes)')}"""
+
+
+def _runs_sql(kind: str, p: str, buy: str, sell: str, ticks: float, span: int) -> str:
+    """Runs bars by recursion: p, buy and sell are the SQL of the first expectations, over rows of v (instrument, rn, side, x)."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"""WITH RECURSIVE {SIGNED_SQL}, v AS (SELECT *, {VALUE_SQL[kind]} AS x FROM signed),
+start AS (SELECT instrument, {p} AS p, {buy} AS buy, {sell} AS sell FROM v GROUP BY 1),
+walk AS (SELECT instrument, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS tb, CAST(0 AS DOUBLE) AS ts, CAST(0 AS BIGINT) AS nb, CAST(0 AS BIGINT) AS ns, CAST({ticks} AS DOUBLE) AS ticks, CAST(least(greatest(p, 0), 1) AS DOUBLE) AS p, CAST(buy AS DOUBLE) AS buy, CAST(sell AS DOUBLE) AS sell, CAST(0 AS BIGINT) AS bar_id, false AS closes FROM start
+  UNION ALL SELECT instrument, rn, CASE WHEN hit THEN 0 ELSE b END, CASE WHEN hit THEN 0 ELSE s END, CASE WHEN hit THEN 0 ELSE mb END, CASE WHEN hit THEN 0 ELSE ms END,
+    CASE WHEN hit THEN least(greatest({a} * (mb + ms) + (1 - {a}) * ticks, 1.0), 1e9) ELSE ticks END, CASE WHEN hit THEN least(greatest({a} * mb / (mb + ms) + (1 - {a}) * p, 0.0), 1.0) ELSE p END,
+    CASE WHEN hit AND mb > 0 THEN {a} * b / mb + (1 - {a}) * buy ELSE buy END, CASE WHEN hit AND ms > 0 THEN {a} * s / ms + (1 - {a}) * sell ELSE sell END, bar_id, hit
+  FROM (SELECT *, greatest(b, s) >= greatest(ticks * greatest(p * buy, (1 - p) * sell), 1e-9) AS hit
+    FROM (SELECT v.instrument, v.rn, w.tb + CASE WHEN v.side > 0 THEN v.x ELSE 0 END AS b, w.ts + CASE WHEN v.side > 0 THEN 0 ELSE v.x END AS s, w.nb + CASE WHEN v.side > 0 THEN 1 ELSE 0 END AS mb, w.ns + CASE WHEN v.side > 0 THEN 0 ELSE 1 END AS ms,
+      w.ticks, w.p, w.buy, w.sell, CASE WHEN w.closes THEN w.bar_id + 1 ELSE w.bar_id END AS bar_id FROM walk w JOIN v ON v.instrument = w.instrument AND v.rn = w.rn + 1))),
+t AS (SELECT s.*, w.bar_id, w.closes FROM signed s JOIN walk w USING (instrument, rn))
+{_bar_sql('t', 'HAVING bool_or(closes)')}"""
+
+
 for _kind in bars.INCREMENTS:
 
-    @query(f"bars_imbalance_{_kind}")
+    @query(f"bars_imbalance_{_kind}", _imbalance_sql(_kind, "avg(x) FILTER (WHERE rn <= 10)", 5, 5))
     def bars_imbalance(spark, sf_dir, kind=_kind):
         return bars.imbalance_bars(_ticks(spark, sf_dir), kind, kernels.ImbalanceConfig(exp_ticks=5, warmup=10, span_ticks=5, span_imbalance=5))
 
-    @query(f"bars_runs_{_kind}")
+    @query(f"bars_runs_{_kind}", _runs_sql(_kind, P_SQL, BUY_SQL, SELL_SQL, 5, 5))
     def bars_runs(spark, sf_dir, kind=_kind):
         return bars.runs_bars(_ticks(spark, sf_dir), kind, kernels.RunsConfig(exp_ticks=5, warmup=10, span=5))
 

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.q_bars import SIGNED_SQL, TICKS_SQL, _reset_sql
+from tidemark import kernels
+from tidemark.plans.q_bars import SIGNED_SQL, TICKS_SQL, _imbalance_sql, _reset_sql, _runs_sql
 from tidemark.plans.q_labels import CUSUM_SQL
 from tidemark.plans.registry import query
 from tidemark.streaming import folds
@@ -23,7 +24,11 @@ def _ticks(spark, sf_dir):
 
 
 def _drained(spark, stream, name):
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
     return folds.drained(stream, f"{folder}/stream-{uuid.uuid4().hex}", name)
 
 
@@ -64,3 +69,35 @@ def stream_dedup_fills(spark, sf_dir):
 @query("stream_windowed_watermark")
 def stream_windowed_watermark(spark, sf_dir):
     return _drained(spark, folds.windowed(_ticks(spark, sf_dir), "1 hour", "1 hour"), "windows").withColumn("dollars", F.round("dollars", 4))
+
+
+@query("stream_volume_bars", _only(_reset_sql("size", 60.0)))
+def stream_volume_bars(spark, sf_dir):
+    return _drained(spark, folds.bars(_ticks(spark, sf_dir), 60.0, "volume"), "bars").withColumn("dollar_volume", F.round("dollar_volume", 4))
+
+
+IMBALANCE = kernels.ImbalanceConfig(exp_ticks=10.0, exp_imbalance=0.5, span_ticks=20, span_imbalance=20)
+RUNS = kernels.RunsConfig(exp_ticks=10.0, exp_buy=0.5, exp_w_buy=1.0, exp_w_sell=1.0, span=20)
+
+
+def _signed_bars(kind, runs):
+    def run(spark, sf_dir):
+        made = folds.runs_bars if runs else folds.imbalance_bars
+        out = made(_ticks(spark, sf_dir), kind, RUNS if runs else IMBALANCE)
+        return _drained(spark, out, "bars").withColumn("dollar_volume", F.round("dollar_volume", 4))
+
+    return run
+
+
+for _kind in ("tick", "volume", "dollar"):
+    query(f"stream_imbalance_{_kind}", _only(_imbalance_sql(_kind, "CAST(0.5 AS DOUBLE)", 10, 20)))(_signed_bars(_kind, False))
+    query(f"stream_runs_{_kind}", _only(_runs_sql(_kind, "0.5", "1.0", "1.0", 10, 20)))(_signed_bars(_kind, True))
+
+
+@query("stream_rolling_flow", f"""WITH {TICKS_SQL}, f AS (SELECT instrument, ts, seq, price FROM ticks)
+SELECT instrument, seq, round(CASE WHEN count(*) OVER w5 = 5 THEN sum(price) OVER w5 ELSE 0 END, 4) AS sum_5, round(CASE WHEN count(*) OVER w10 = 10 THEN sum(price) OVER w10 ELSE 0 END, 4) AS sum_10,
+round(CASE WHEN count(*) OVER w10 = 10 AND stddev_samp(price) OVER w10 > 1e-12 THEN (price - avg(price) OVER w10) / stddev_samp(price) OVER w10 ELSE 0 END, 5) AS z FROM f
+WINDOW w5 AS (PARTITION BY instrument ORDER BY ts, seq ROWS 4 PRECEDING), w10 AS (PARTITION BY instrument ORDER BY ts, seq ROWS 9 PRECEDING)""")
+def stream_rolling_flow(spark, sf_dir):
+    out = _drained(spark, folds.rolling_flow(_ticks(spark, sf_dir), (5, 10), "price"), "flow")
+    return out.select("instrument", "seq", F.round("sum_5", 4).alias("sum_5"), F.round("sum_10", 4).alias("sum_10"), F.round("z", 5).alias("z"))
