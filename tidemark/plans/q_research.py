@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import tools
 from tidemark.operators import crosssection as xs
 from tidemark.operators import performance as perf
 from tidemark.operators import statistics as st
@@ -119,14 +120,7 @@ def xs_long_short(spark, sf_dir):
 
 @query("xs_factory")
 def xs_factory(spark, sf_dir):
-    frame = _factors(spark, sf_dir)
-    found = xs.screen(frame, hac_lags=5)
-    keyed = frame.withColumn("date", F.struct("name", "date"))
-    paths = xs.long_short(keyed).select(F.col("date.name").alias("name"), F.col("ls_return").alias("ret")).filter("ret IS NOT NULL")
-    deflated = st.dsr(paths, ["name"], 4).select("name", "dsr")
-    joined = found.join(deflated, "name").withColumn("passed", F.col("significant") & (F.col("dsr") >= 0.95))
-    reason = F.when(F.col("passed"), "passed").when(~F.col("significant"), "not significant").otherwise("deflated Sharpe too low")
-    return rounded(joined.select("name", "mean", "t", "q", "dsr", "passed", reason.alias("reason")))
+    return rounded(tools.factory(_factors(spark, sf_dir)).select("name", "mean", "t", "q", "dsr", "passed", "reason"))
 
 
 SR_SQL = RETURNS_SQL + """, m AS (SELECT instrument, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, var_pop(ret) AS v,
