@@ -53,4 +53,4 @@ def with_column(df: DataFrame, name: str, kind: str):
     """Schema of df with one more column."""
     from pyspark.sql.types import StructType
 
-    return StructType(df.drop(name).schema.fields).add(name, kind)
+    return StructType(list(df.drop(name).schema.fields)).add(name, kind)

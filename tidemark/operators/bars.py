@@ -106,7 +106,7 @@ class _Closing(Fold):
 
 def _closed(ticks: DataFrame, kind: str, make, push, warmup: int) -> DataFrame:
     rows = tick_rule(ticks).withColumn("_w", increment(kind))
-    schema = StructType(rows.schema.fields).add("bar_id", "long").add("closes", "boolean")
+    schema = StructType(list(rows.schema.fields)).add("bar_id", "long").add("closes", "boolean")
     numbered = ordered_fold(rows, "instrument", ["ts", "seq"], lambda: _Closing(make, push, warmup), schema)
     done = numbered.groupBy("instrument", "bar_id").agg(F.max("closes").alias("done")).filter("done").drop("done")
     return aggregate_bars(numbered.join(done, ["instrument", "bar_id"], "left_semi"))

@@ -173,7 +173,7 @@ def adaptive(scores: DataFrame, by: str, at: list[str], alpha: float = 0.1, step
     def fn(x: np.ndarray):
         return kernels.dynamically_tuned(x, alpha, window=window) if dynamic else kernels.adaptive_alphas(x, alpha, step, window)
 
-    schema = StructType(scores.schema.fields).add("half_width", "double").add("alpha_t", "double")
+    schema = StructType(list(scores.schema.fields)).add("half_width", "double").add("alpha_t", "double")
     return ordered_fold(scores, by, at, lambda: _Adaptive(by, fn), schema)
 
 

@@ -49,7 +49,7 @@ class _Positions(Fold):
 def average_cost(fills: DataFrame, by: str = "ticker", at: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """fills (qty signed, price, commission) with position, avg_cost, realized and cash after each: adding averages the
     cost, reducing realises against it, and crossing zero starts at the fill's price."""
-    schema = StructType(fills.schema.fields)
+    schema = StructType(list(fills.schema.fields))
     for c in ("position", "avg_cost", "realized", "cash"):
         schema = schema.add(c, "double")
     return ordered_fold(fills, by, list(at), _Positions, schema)
