@@ -112,3 +112,11 @@ def test_sequential_bootstrap_prefers_unique_spans():
     starts, ends = np.array([0, 0, 0, 10]), np.array([4, 4, 4, 12])
     out = [kernels.sequential_bootstrap(starts, ends, 13, np.random.default_rng(s).random(4)) for s in range(200)]
     assert np.mean([(o == 3).sum() for o in out]) > 1.05
+
+
+def test_prices_that_cannot_be_used_are_passed_over():
+    cusum, vol = kernels.Cusum(0.5), kernels.EwmVolatility(5)
+    assert [cusum.push(p) for p in (1.0, 0.0, float("nan"), None, 2.0)] == [False, False, False, False, True]
+    clean = kernels.EwmVolatility(5)
+    want = [clean.push(p) for p in (1.0, 1.1, 1.0)]
+    assert [x for x, p in zip(map(vol.push, (1.0, 0.0, 1.1, None, 1.0)), (1, 0, 1, 0, 1), strict=True) if p] == want

@@ -118,15 +118,20 @@ def runs_start(config: RunsConfig, sides: np.ndarray, weights: np.ndarray) -> tu
     return tuple(g if g is not None else m for g, m in zip((config.exp_buy, config.exp_w_buy, config.exp_w_sell), (p, buy, sell), strict=True))
 
 
+def _usable(price: float | None) -> bool:
+    return price is not None and price > 0 and bool(np.isfinite(price))
+
+
 class Cusum:
-    """Symmetric CUSUM of log returns: an event where either sum goes beyond the threshold, then both start again."""
+    """Symmetric CUSUM of log returns: an event where either sum goes beyond the threshold, then both start again. A price
+    that is missing or not above 0 is passed over."""
 
     def __init__(self, threshold: float):
         self.h, self.up, self.down, self.last = threshold, 0.0, 0.0, None
 
     def push(self, price: float) -> bool:
-        if not (np.isfinite(price) and price > 0):
-            raise ValueError("prices have to be finite and above 0")
+        if not _usable(price):
+            return False
         x = 0.0 if self.last is None else float(np.log(price / self.last))
         self.last = price
         self.up, self.down = max(0.0, self.up + x), min(0.0, self.down + x)
@@ -137,7 +142,8 @@ class Cusum:
 
 
 class EwmVolatility:
-    """Standard deviation of returns, exponentially weighted without adjustment, corrected for bias."""
+    """Standard deviation of returns, exponentially weighted without adjustment, corrected for bias. A price that is missing
+    or not above 0 is passed over."""
 
     def __init__(self, span: int):
         self.a = 2 / (span + 1)
@@ -145,6 +151,8 @@ class EwmVolatility:
         self.n, self.mean, self.var, self.w2 = 0, 0.0, 0.0, 1.0
 
     def push(self, price: float) -> float | None:
+        if not _usable(price):
+            return None
         r = None if self.last is None else price / self.last - 1
         self.last = price
         if r is None:

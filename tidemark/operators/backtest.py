@@ -207,6 +207,7 @@ class Constraints:
     lot: int = 1
     long_only: bool = True
     bps: float = 5.0
+    every_day: bool = True  # back to the weights each day, or only on days with new ones
 
 
 class _Replay(Fold):
@@ -220,9 +221,12 @@ class _Replay(Fold):
     def day(self, rows: pd.DataFrame) -> tuple:
         c = self.c
         priced = {}
-        for ticker, price, weight in zip(rows["ticker"].tolist(), rows["price"].tolist(), rows["weight"].tolist(), strict=True):
+        fresh = set()
+        for ticker, price, weight, new in zip(rows["ticker"].tolist(), rows["price"].tolist(), rows["weight"].tolist(), rows["fresh"].tolist(), strict=True):
             if price is not None and price > 0 and np.isfinite(price):
                 priced[ticker] = (price, weight)
+                if new or c.every_day:
+                    fresh.add(ticker)
                 self.last[ticker] = price
         nav = self.cash + sum(q * self.last[t] for t, q in self.held.items())
         weights = {t: float(w) for t, (_, w) in priced.items() if w is not None and w == w}
@@ -234,6 +238,8 @@ class _Replay(Fold):
         turnover = cost = 0.0
         orders = 0
         for t in sorted(weights, key=lambda t: (weights[t] * nav - self.held.get(t, 0.0) * priced[t][0], t)):  # sales first
+            if t not in fresh:
+                continue
             price = priced[t][0]
             move = np.round((weights[t] * nav / price - self.held.get(t, 0.0)) / c.lot) * c.lot
             if abs(move) * price < c.min_notional:
@@ -279,7 +285,8 @@ def replay(prices: DataFrame, weights: DataFrame, constraints: Constraints = Con
     kind = weights.schema[by].dataType.simpleString()
     date = prices.schema["date"].dataType.simpleString()
     schema = f"`{by}` {kind}, date {date}, nav double, cash double, gross double, turnover double, cost double, n_orders long, ret double, n_skipped long"
-    return ordered_fold(held.select(by, "date", "ticker", "price", "weight"), by, ["date", "ticker"], lambda: _Replay(constraints, by), schema)
+    fresh = F.coalesce(F.col("date_matched") == F.col("date"), F.lit(False)).alias("fresh")
+    return ordered_fold(held.select(by, "date", "ticker", "price", "weight", fresh), by, ["date", "ticker"], lambda: _Replay(constraints, by), schema)
 
 
 def run_backtest(prices: DataFrame, weights: DataFrame, constraints: Constraints = Constraints(), by: str = "run_id", benchmark: DataFrame | None = None, **options) -> dict[str, DataFrame]:  # noqa: B008

@@ -200,12 +200,12 @@ def _marks(spark, sf_dir):
 
 @query("bt_replay")
 def bt_replay(spark, sf_dir):
-    return rounded(bt.replay(_marks(spark, sf_dir), _targets(spark, sf_dir), bt.Constraints(min_notional=1000.0)))
+    return rounded(bt.replay(_marks(spark, sf_dir), _targets(spark, sf_dir), bt.Constraints(min_notional=1000.0, every_day=False)))
 
 
 @query("bt_report")
 def bt_report(spark, sf_dir):
-    return rounded(bt.run_backtest(_marks(spark, sf_dir), _targets(spark, sf_dir), bt.Constraints(min_notional=1000.0))["report"])
+    return rounded(bt.run_backtest(_marks(spark, sf_dir), _targets(spark, sf_dir), bt.Constraints(min_notional=1000.0, every_day=False))["report"])
 
 
 @query("perf_calmar", f"""WITH {RETURNS_SQL}, r AS (SELECT *, exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY instrument ORDER BY date)) AS e FROM returns WHERE ret IS NOT NULL),
