@@ -18,7 +18,7 @@ wide as the sets are large, and what is left is verified with the sets themselve
 The boundary is the one with the least total cost, from the counts of all sizes. A list longer than LONG gives, in a
 first round, one pair for each member with a leader it may link with; after these are verified, a second round takes
 only pairs whose members are still in different components, so a dense group costs its size, not the square. Lists longer
-than BLOCK are dealt out in pairs of blocks. Memory goes with a block and with the longest text, not with groups.
+than BLOCK are parted by bands of sizes, of which only neighbours can link, and dealt out in pairs of blocks of these. Memory goes with a block and with the longest text, not with groups.
 
 Null, empty and blank texts have no set and link with nothing; their component is their own doc_id. Rows with a null
 doc_id take part, and a component of such rows alone has a null component_id. Repeated rows get a row each. Empty tables
@@ -30,11 +30,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
@@ -308,9 +308,37 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     return both.filter(100 * common >= per_cent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def long_lists(postings: DataFrame) -> DataFrame:
-    """token and blocks of the lists longer than LONG."""
-    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > LONG).select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+def long_lists(postings: DataFrame, per_cent: int) -> DataFrame:
+    """token and bands (band -> blocks; null if the list isn't dealt out) of the lists longer than LONG."""
+    per = postings.groupBy("token", band(F.col("n"), per_cent).alias("band")).agg(F.count(F.lit(1)).alias("k"))
+    # sizes up to a million make a few hundred bands at most
+    bands = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("k") / BLOCK).cast("int"))))
+    lists = per.groupBy("token").agg(F.sum("k").alias("k"), bands.alias("bands")).filter(F.col("k") > LONG)
+    return lists.select("token", F.when(F.col("k") > BLOCK, F.col("bands")).alias("bands"))
+
+
+def band(n: Column, per_cent: int) -> Column:
+    """Sets that link lie in the same band of sizes or in neighbouring ones, as each is wider than 100 / per_cent."""
+    return F.floor(F.log(n.cast("double")) / log(1.001 * 100 / per_cent)).cast("int")
+
+
+#: blocks of a band are numbered below this
+IN_BAND = 1 << 20
+
+
+def blocks_of(per_cent: int) -> tuple[Column, Column]:
+    """(the block of a posting, those whose postings it meets) from cid, n and bands; 0 in a list that isn't dealt."""
+    own = band(F.col("n"), per_cent)
+    block = own * IN_BAND + F.pmod(F.xxhash64("cid"), F.element_at("bands", own)).cast("int")
+
+    def all_of(b: Column) -> Column:
+        count = F.coalesce(F.try_element_at("bands", b), F.lit(0))
+        numbers = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: b * IN_BAND + i)
+
+    met = F.concat(all_of(own - 1), all_of(own), all_of(own + 1))
+    none = F.col("bands").isNull()
+    return F.when(none, 0).otherwise(block), F.when(none, F.array(F.lit(0))).otherwise(met)
 
 
 def grouped(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,10 +370,9 @@ def _grouped(docs: DataFrame, size: int, per_cent: int, id_col: str, text_col: s
     few = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + 1
     postings = heavier.select(F.posexplode(prefix).alias("at", "token"), "cid", "n", F.col("narrow").alias("sketch"), few.alias("few"))
     postings = postings.withColumn("first", F.col("at") < F.col("few")).drop("at", "few")
-    longer = materialized(long_lists(postings), "long")
-    blocks = F.coalesce("blocks", F.lit(1))
-    part = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    others = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    longer = materialized(long_lists(postings, per_cent), "long")
+    part, met = blocks_of(per_cent)
+    others = F.explode(met).alias("other")
 
     def dealt(rows_: DataFrame, how: str) -> DataFrame:
         spread = rows_.join(longer, "token", how).withColumn("part", part).select("*", others)
