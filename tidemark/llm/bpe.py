@@ -31,7 +31,7 @@ from tidemark.llm.common import worker_state
 
 #: the pattern of the byte-level pre-tokenizer, a fixed value
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 100_000
+CACHE = 200_000
 FOREVER = 1 << 60
 
 
