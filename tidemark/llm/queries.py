@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, imatch, language, ngram_join, repeats, resampling, secrets, sharding, token_files
-from tidemark.llm.common import documents, shared_dir
+from tidemark.llm.common import documents, materialized, removed, shared_dir
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), out, end_id=1)
-    return token_files.read_digests(spark, out)
+    digests = materialized(token_files.read_digests(spark, out), "digests")
+    removed(spark, out)
+    return digests
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
