@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, language, ngram_join, secrets
-from tidemark.llm.common import documents, materialized
+from tidemark.llm.common import discard, documents, materialized
 from tidemark.llm.queries import vocabulary
 
 
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = materialized(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # what the stage has read
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
