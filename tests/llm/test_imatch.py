@@ -4,6 +4,8 @@ from collections import Counter
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidemark.llm import imatch, order
 
@@ -168,3 +170,14 @@ def test_more_rows_than_one_list_of_cuts_serves(spark, monkeypatch, cap):
     for i, (doc_id, *_) in enumerate(rows):
         half = len(texts[i]) // 2
         assert got[doc_id] == sha256((texts[i][: len(texts[i]) - half] + texts[(i + 1) % 60][:half]).encode()).hexdigest()
+
+
+def test_bucket_numbers_beyond_32_bits(spark):
+    n = 2 * order.MAX_BUCKETS
+    docs = spark.range(n).select((F.col("id") * 3).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    cuts = order.bounds(docs, rows_per_bucket=1)
+    inner = order.finer(docs, cuts, rows_per_bucket=1)
+    assert len(cuts) * order.PARTS > 1 << 31 and inner is not None
+    within = Window.partitionBy("_bucket").orderBy("_guest", "_key")
+    got = order.with_guests(docs, cuts, inner=inner).withColumn("next", F.lead("text").over(within)).filter("_guest = 0")
+    assert sorted((int(r["text"]), int(r["next"])) for r in got.collect()) == [(i, (i + 1) % n) for i in range(n)]

@@ -86,8 +86,10 @@ def with_guests(docs: DataFrame, cuts: list[int], id_col: str = "doc_id", inner:
         reach = _reaching(F.concat(F.array(F.lit(LOWEST)), F.col("_inner")), F.col("_key"))
         placed = placed.withColumn("_part", F.aggregate(steps, F.lit(0), reach))
         starts = F.when(F.col("_part") == 0, least).otherwise(F.get("_inner", F.col("_part") - 1)) == F.col("_key")
-        bucket = F.col("_own") * PARTS + F.col("_part")
-        before = F.when(F.col("_part") > 0, bucket - 1).otherwise((F.col("_own") - 1) * PARTS + F.col("_before") - 1)
+        # bucket numbers go beyond 32 bits
+        own, parts = F.col("_own").cast("long"), F.lit(PARTS).cast("long")
+        bucket = own * parts + F.col("_part")
+        before = F.when(F.col("_part") > 0, bucket - 1).otherwise((own - 1) * parts + F.col("_before") - 1)
         final = F.lit((len(cuts) - 1) * PARTS + last)
     wide = "long" if inner is not None else "int"
 
