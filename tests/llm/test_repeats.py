@@ -167,3 +167,32 @@ def test_divided_anchors_same_as_brute_force(spark, large):
     rows = hot(300) + [(1000 + (r[0] or 0), *r[1:]) if r[0] is not None else r for r in made(3, 40)]
     got = repeats.dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), large=large).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute(rows)
+
+
+def test_ranges_of_anchors_hold_equally_many_runs():
+    raw = np.frombuffer(random.Random(3).randbytes(400_000), np.uint8)
+    _, anchor, *_ = repeats.runs(np.array([0, len(raw)]), raw)
+    sizes = np.bincount(repeats.range_of(anchor >> np.uint64(16), 40), minlength=40)
+    assert sizes.max() < 1.2 * sizes.mean() and sizes.min() > 0.8 * sizes.mean()
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_later_copies_take_no_part(spark, monkeypatch, most):
+    kept = []
+
+    def held(df, name, *a, f=repeats.materialized, **k):
+        out = f(df, name, *a, **k)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(repeats, "COPIES", most)
+    monkeypatch.setattr(repeats, "materialized", held)
+    text = [random.Random(k).randbytes(300).hex() for k in range(6)]
+    rows = [(10 * copy + k, text[k]) for copy in range(4) for k in range(6)] + [(15, text[5]), (None, text[4])]
+    for changed in ([], [(40 + k, text[k] + "x" * 60) for k in range(2)]):
+        kept.clear()
+        got = repeats.dedup(spark.createDataFrame([(*r, None, None, None) for r in rows + changed], SCHEMA).repartition(5)).collect()
+        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, got)) == brute(rows + changed)
+        # whole copies need no runs; changed ones do
+        assert [n > 0 for name, n in kept if name == "contexts"] == [bool(changed)]
+        assert sum(name == "merged" for name, _ in kept) == repeats.PASSES

@@ -4,6 +4,8 @@ Texts are UTF-8 bytes. A byte goes if a string of LENGTH bytes covers it that al
 doc_id. A string's anchor is the least hash of the GRAM-byte pieces in it, so equal strings have equal anchors, and a
 string can only repeat if its anchor occurs in two documents.
 
+0. A text that is also that of a smaller doc_id goes whole, and its strings tell no other document anything that the first
+   copy doesn't. It takes no part in what follows.
 1. Anchors: each batch gives every anchor of its documents once, with those that several of its documents have marked at
    once; gathering by anchor marks those that several batches have. A mark is a hash of row and anchor, so it may mark
    too much, never too little.
@@ -49,6 +51,7 @@ SHARD, SHARDS = 32 << 10, 4
 LARGE = 1 << 20  # bytes of the runs of one anchor that a task compares by itself
 BUCKET = 32 << 20  # bytes of text to a bucket
 HELD = 64 << 20  # bytes of runs that a task gathers before it looks for anchors that are too large
+COPIES = 500_000  # later copies whose keys are broadcast
 ROWS = 500_000  # marks or answers that are packed at once
 PIECE = 8 << 20  # bytes of text whose runs a task holds at once
 PACKED = 64, 512  # runs, or anchors, to a packed row: rows stay small, whatever reads them many at a time
@@ -132,8 +135,17 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 def range_of(h48: np.ndarray, buckets: int) -> np.ndarray:
-    """The range of anchors, 0 to buckets - 1, that holds each of these."""
-    return (((h48 >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """The range of anchors, 0 to buckets - 1, that holds each of these. Anchors are the least of `width` hashes, so they
+    crowd near 0; their distribution function makes the ranges hold equally many runs. Products alone, which every
+    machine rounds alike."""
+    width = LENGTH - GRAM + 1
+    y = 1.0 - (h48 >> np.uint64(16)) / 4294967296.0
+    power, square, left = np.ones_like(y), y, width
+    while left:
+        if left & 1:
+            power = power * square
+        square, left = square * square, left >> 1
+    return ((1.0 - power * ((width + 1) / 2 - (width - 1) / 2 * y)) * buckets).astype(np.int64).clip(0, buckets - 1)
 
 
 def mark_of(row48: np.ndarray, h48: np.ndarray) -> np.ndarray:
@@ -253,7 +265,9 @@ def _marks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield batch_of(last, MARKS)
 
 
-#: kind 0: runs of a range of anchors, `key`; kind 1: places of a bucket of rows, `key`
+PASSES = 4
+#: kind 0 to PASSES - 1: runs of a range of anchors, `key`, in the pass that compares it; kind PASSES: places of a bucket of
+#: rows, `key`
 CONTEXTS = "kind int, key int, blob binary"
 RUN = ("<u8", "<u8", "<u4", "<i4", "<i8", "<i8", "<i4", "")  # anchor, hash, number, bucket of rows, least and greatest doc, bytes, content
 PLACES = ("<i8", "<i8", "<i4", "<i4", "<i4", "<u4")  # of each row its hash, doc and number of places; of each place start, starts, run
@@ -323,14 +337,14 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         size = count[one] + (LENGTH - 1)
         contents = [data[a:b] for a, b in zip(begin[one].tolist(), (begin[one] + size).tolist(), strict=True)]
         columns = [x.astype(k) for x, k in zip((anchor[one], c[one], number[one], bucket[one], lo, hi, size), RUN, strict=False)]
-        out = [(0, k, pack(*(x[a:b] for x in columns), b"".join(contents[a:b]))) for k, a, b in chunks(range_of(anchor[one] >> _KEEP, buckets), PACKED[0])]
+        out = [(k * PASSES // buckets, k, pack(*(x[a:b] for x in columns), b"".join(contents[a:b]))) for k, a, b in chunks(range_of(anchor[one] >> _KEEP, buckets), PACKED[0])]
         for k, a, b in slices(bucket):
             rows, counts = np.unique(text[a:b], return_counts=True)
             stops = np.cumsum(counts)
             for _, i, j in slices(stops // PACKED[1]):  # whole rows, of some hundred places together
                 u, v = a + (int(stops[i - 1]) if i else 0), a + int(stops[j - 1])
                 columns = (rk[rows[i:j]], doc[rows[i:j]], counts[i:j], first[u:v], count[u:v], number[u:v])
-                out.append((1, k, pack(*(x.astype(kind) for x, kind in zip(columns, PLACES, strict=True)))))
+                out.append((PASSES, k, pack(*(x.astype(kind) for x, kind in zip(columns, PLACES, strict=True)))))
         yield batch_of(out, CONTEXTS)
     trimmed()
 
@@ -578,6 +592,20 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
 
+def later_copies(long: DataFrame) -> DataFrame:
+    """doc_id, rk and n (bytes) of rows whose whole text also is that of a smaller doc. Every byte of them goes, and their
+    strings have no least doc that the first copy's don't have, so nothing else needs them. Texts are told apart by two
+    hashes of 64 bits and their sizes."""
+    texts = long.select("doc_id", "doc", "rk", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    texts = materialized(texts, "texts")
+    several = texts.groupBy("h", "g", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    # written, so that the join's sides are plain shuffles, which the planner splits where a text is hot
+    several = materialized(several, "several")
+    out = materialized(texts.join(several, ["h", "g", "n"]).filter("doc > first").select("doc_id", "rk", "n"), "copies")
+    discard(texts)
+    return out
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     spark = docs.sparkSession
@@ -585,8 +613,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large
     rows = docs.select(own.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(own, F.lit(LOWEST)).alias("doc"))
     rows = rows.withColumn("rk", F.xxhash64("doc", "text"))
     long = rows.filter(F.octet_length("text") >= LENGTH)
+    copies = later_copies(long)
+    again = copies.count()
+    if again > COPIES:
+        long = materialized(long.join(copies.select("rk"), "rk", "left_anti"), "firsts", "zstd")
+    elif again:
+        long = long.join(F.broadcast(copies.select("rk").distinct()), "rk", "left_anti")
     total = long.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / BUCKET))
+    # a task sends a row or more to each bucket, so few of them
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / BUCKET))
     d = (F.shiftrightunsigned("rk", int(_KEEP)) % buckets).cast("int")
 
     def none(kind: str, name: str):
@@ -601,9 +636,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large
     met = materialized(met, "contexts", "zstd", by="kind")
     discard(marks)
 
-    found = met.filter("kind = 0").select("key", "blob").repartition("key").sortWithinPartitions("key")
-    merged = materialized(found.mapInArrow(partial(_merged, large=large), MERGED), "merged", "zstd")
-    discard(met, "kind=0")
+    # range after range, so that only one pass's runs are on disk twice
+    merged = None
+    for k in range(PASSES):
+        found = met.filter(F.col("kind") == k).select("key", "blob").repartition("key").sortWithinPartitions("key")
+        part = materialized(found.mapInArrow(partial(_merged, large=large), MERGED), "merged", "zstd")
+        discard(met, f"kind={k}")
+        merged = part if merged is None else merged.unionByName(part)
     replies, rest = merged.filter("content IS NULL").select("d", "blob"), merged.filter("content IS NOT NULL")
     if rest.limit(1).count():
         strings = by_string(rest).filter(F.array_min("least") < F.col("hi"))
@@ -611,9 +650,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large
 
     blank = (none("long", "rk"), none("long", "doc_id"), none("string", "text"), "blob")
     answered = replies.select("d", F.lit(0).alias("kind"), *blank)
-    places = met.filter("kind = 1").select(F.col("key").alias("d"), F.lit(1).alias("kind"), *blank)
+    places = met.filter(F.col("kind") == PASSES).select(F.col("key").alias("d"), F.lit(1).alias("kind"), *blank)
     texts = long.select(d.alias("d"), F.lit(2).alias("kind"), "rk", "doc_id", "text", none("binary", "blob"))
     dealt = answered.unionByName(places).unionByName(texts).repartition("d").sortWithinPartitions("d", "kind")
     # shorter texts hold no string, so they need no bucket
     short = rows.filter(F.octet_length("text") < LENGTH).select(F.lit(-1).alias("d"), F.lit(2).alias("kind"), "rk", "doc_id", "text", none("binary", "blob"))
-    return dealt.mapInArrow(_removed, DIGEST).unionByName(short.mapInArrow(_removed, DIGEST))
+    whole = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(sha256().hexdigest()).alias("kept_sha256"))
+    return dealt.mapInArrow(_removed, DIGEST).unionByName(short.mapInArrow(_removed, DIGEST)).unionByName(whole)
