@@ -25,17 +25,29 @@ def _w():
     return Window.partitionBy("instrument").orderBy("pos")
 
 
-def cusum_events(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows with `event`: whether the symmetric CUSUM of log returns fires there."""
-    make = lambda: PerRow(kernels.Cusum(threshold).push, ["price"], "event")
+def cusum_events(rows: DataFrame, threshold: float, skip: bool = True) -> DataFrame:
+    """rows with `event`: whether the symmetric CUSUM of log returns fires there. skip: see kernels.Cusum."""
+    make = lambda: PerRow(kernels.Cusum(threshold, skip).push, ["price"], "event")
     return ordered_fold(rows, "instrument", ["pos"], make, with_column(rows, "event", "boolean"))
 
 
-def ewm_volatility(rows: DataFrame, span: int = 100) -> DataFrame:
-    """rows with `vol`: EWM deviation of simple returns; missing for the first two rows."""
-    make = lambda: PerRow(kernels.EwmVolatility(span).push, ["price"], "vol")
+def _negative_for_nan(push):
+    """pandas has no NaN beside missing values."""
+    return lambda price: -1.0 if (vol := push(price)) is not None and vol != vol else vol
+
+
+def ewm_volatility(rows: DataFrame, span: int = 100, skip: bool = True) -> DataFrame:
+    """rows with `vol`: EWM deviation of simple returns; missing for the first two rows. skip: see kernels.EwmVolatility;
+    without it vol is NaN where infinite returns leave no value."""
+    make = lambda: PerRow(_negative_for_nan(kernels.EwmVolatility(span, skip).push), ["price"], "vol")
     out = ordered_fold(rows, "instrument", ["pos"], make, with_column(rows, "vol", "double"))
-    return out.withColumn("vol", F.when(~F.isnan("vol"), F.col("vol")))
+    return out.withColumn("vol", F.when(F.col("vol") < 0, F.lit(None if skip else float("nan")).cast("double")).when(~F.isnan("vol"), F.col("vol")))
+
+
+def _ieee_divide(a, b):
+    """a / b where a division by 0 gives an infinite value or NaN instead of an error."""
+    sign = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when((b == 0) & a.isNotNull(), sign).otherwise(F.try_divide(a, b))
 
 
 def barrier_events(rows: DataFrame, events: DataFrame, horizon: int, min_ret: float = 0.0, target: str = "target") -> DataFrame:
@@ -47,10 +59,10 @@ def barrier_events(rows: DataFrame, events: DataFrame, horizon: int, min_ret: fl
     return filled.join(events.select("instrument", "pos"), ["instrument", "pos"]).filter(F.col("target") > min_ret)
 
 
-def triple_barrier(rows: DataFrame, events: DataFrame, horizon: int, pt: float = 1.0, sl: float = 1.0) -> DataFrame:
+def triple_barrier(rows: DataFrame, events: DataFrame, horizon: int, pt: float = 1.0, sl: float = 1.0, ieee: bool = False) -> DataFrame:
     """events (instrument, pos, target, t1, optional side) with exit, label, ret and bin: the first touch after the event,
     the upper barrier tested first, 0 at t1. A multiple of 0 or less switches its barrier off; ret is null where the event's
-    price is 0."""
+    price is 0, or by `ieee` infinite or NaN."""
     ahead = F.collect_list(F.struct("pos", "price")).over(_w().rowsBetween(1, horizon))
     paths = rows.select("instrument", "pos", F.col("price").alias("p0"), ahead.alias("path"))
     side = F.col("side") if "side" in events.columns else F.lit(1)
@@ -66,7 +78,8 @@ def triple_barrier(rows: DataFrame, events: DataFrame, horizon: int, pt: float =
     e = e.withColumns({"_hit": first, "_end": F.when(F.size("path") > 0, F.get(F.filter("path", lambda x: x["pos"] == F.col("t1")), F.lit(0)))})
     label = F.when(F.col("_hit").isNull(), 0).when(F.col("_hit.price") >= F.col("_up"), 1).otherwise(-1)
     price = F.coalesce("_hit.price", "_end.price", "p0")
-    out = e.withColumns({"exit": F.coalesce("_hit.pos", "t1"), "label": label, "ret": (F.try_divide(price, F.col("p0")) - 1) * F.col("_side")})
+    divide = _ieee_divide if ieee else F.try_divide
+    out = e.withColumns({"exit": F.coalesce("_hit.pos", "t1"), "label": label, "ret": (divide(price, F.col("p0")) - 1) * F.col("_side")})
     return out.withColumn("bin", (F.col("label") * F.signum("_side")).cast("int")).drop("path", "p0", "_side", "_up", "_dn", "_hit", "_end")
 
 
@@ -79,12 +92,14 @@ def concurrency(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return both.select("instrument", "pos", F.sum(F.coalesce("d", F.lit(0))).over(_w().rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
 
 
-def _span_sums(spans: DataFrame, running: DataFrame) -> DataFrame:
-    """spans with `sum`: the running total (instrument, pos, s) at t1 less that before t0."""
-    at_end = running.select("instrument", F.col("pos").alias("t1"), F.col("s").alias("_e"))
-    before = running.select("instrument", (F.col("pos") + 1).alias("t0"), F.col("s").alias("_b"))
+def _span_sums(spans: DataFrame, running: DataFrame, totals: tuple[str, ...] = ("s",)) -> DataFrame:
+    """spans with `sum` of each: the running totals (instrument, pos, s, ...) at t1 less those before t0. With one total
+    the name is `sum`, else sum_<total>."""
+    at_end = running.select("instrument", F.col("pos").alias("t1"), *(F.col(s).alias(f"_e{s}") for s in totals))
+    before = running.select("instrument", (F.col("pos") + 1).alias("t0"), *(F.col(s).alias(f"_b{s}") for s in totals))
     both = spans.join(at_end, ["instrument", "t1"]).join(before, ["instrument", "t0"], "left")
-    return both.withColumn("sum", F.col("_e") - F.coalesce("_b", F.lit(0.0))).drop("_e", "_b")
+    made = {"sum" if len(totals) == 1 else f"sum_{s}": F.col(f"_e{s}") - F.coalesce(f"_b{s}", F.lit(0.0)) for s in totals}
+    return both.withColumns(made).drop(*(f"_{k}{s}" for s in totals for k in "eb"))
 
 
 def uniqueness(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -94,17 +109,32 @@ def uniqueness(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return _span_sums(spans, running).select("instrument", "t0", "t1", (F.col("sum") / (F.col("t1") - F.col("t0") + 1)).alias("uniqueness"))
 
 
-def sample_weights(rows: DataFrame, spans: DataFrame, normalize: bool = True) -> DataFrame:
-    """spans with |sum of log return / concurrency|, scaled to add up to the number of spans of the instrument."""
-    # a return from or to a price of 0 counts as none
-    logret = F.coalesce(F.log(F.try_divide(F.col("price"), F.lag("price").over(_w()))), F.lit(0.0))
-    joined = rows.withColumn("_r", logret).join(concurrency(rows, spans), ["instrument", "pos"])
-    share = F.when(F.col("c") > 0, F.col("_r") / F.col("c")).otherwise(0.0)
-    running = joined.withColumn("s", F.sum(share).over(_w().rowsBetween(Window.unboundedPreceding, 0)))
-    out = _span_sums(spans, running).select("instrument", "t0", "t1", F.abs("sum").alias("weight"))
+def sample_weights(rows: DataFrame, spans: DataFrame, normalize: bool = True, ieee: bool = False) -> DataFrame:
+    """spans with |sum of log return / concurrency|, scaled to add up to the number of spans of the instrument. A return
+    from or to a price of 0 counts as none; or, by `ieee`, it is infinite, and so are or without a value (NaN) the sums and
+    weights it goes into."""
+    divide = _ieee_divide if ieee else F.try_divide
+    ratio = divide(F.col("price"), F.lag("price").over(_w()))
+    logret = F.log(ratio)  # null for 0 and below
+    if ieee:
+        logret = F.when(ratio == 0, F.lit(float("-inf"))).when((ratio < 0) | F.isnan(ratio), F.lit(float("nan"))).otherwise(logret)
+    joined = rows.withColumn("_r", F.coalesce(logret, F.lit(0.0))).join(concurrency(rows, spans), ["instrument", "pos"])
+    r = F.col("_r")
+    # running totals of finite values alone, and of how many are not finite
+    kinds = {"s": F.when((F.col("c") > 0) & ~F.isnan(r) & (F.abs(r) < float("inf")), r / F.col("c")).otherwise(0.0)}
+    if ieee:
+        kinds |= {k: F.when(is_it, 1.0).otherwise(0.0) for k, is_it in (("up", r == float("inf")), ("down", r == float("-inf")), ("none", F.isnan(r)))}
+    so_far = _w().rowsBetween(Window.unboundedPreceding, 0)
+    running = joined.withColumns({k: F.sum(x).over(so_far) for k, x in kinds.items()})
+    sums = _span_sums(spans, running, tuple(kinds))
+    total = F.col("sum")
+    if ieee:
+        lost = (F.col("sum_none") > 0) | ((F.col("sum_up") > 0) & (F.col("sum_down") > 0))
+        total = F.when(lost, float("nan")).when((F.col("sum_up") > 0) | (F.col("sum_down") > 0), float("inf")).otherwise(F.col("sum_s"))
+    out = sums.select("instrument", "t0", "t1", F.abs(total).alias("weight"))
     if normalize:
         per = Window.partitionBy("instrument")
-        out = out.withColumn("weight", F.try_divide(F.col("weight") * F.count(F.lit(1)).over(per), F.sum("weight").over(per)))
+        out = out.withColumn("weight", divide(F.col("weight") * F.count(F.lit(1)).over(per), F.sum("weight").over(per)))
     return out
 
 

@@ -19,6 +19,18 @@ def rounded(df, digits: int = 6):
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def round_half_away(c, digits: int):
+    """The double c rounded as SQL's round() does: the nearest whole number to c * 10 ** digits, ties away from 0, over that
+    power. (Spark's rounds the decimal that is shown, which differs where the product is a tie.)"""
+    c, by = F.col(c) if isinstance(c, str) else c, F.lit(10.0**digits)
+    out = F.round(c * by) / by
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), c).otherwise(out)
+
+
+def rounded_half_away(df, digits: int = 6):
+    return df.select(*((round_half_away(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 @query("xs_momentum", f"WITH {DAILY_SQL} SELECT instrument, date, round(lag(close, 2) OVER {W} / lag(close, 20) OVER {W} - 1, 6) AS factor FROM daily")
 def xs_momentum(spark, sf_dir):
     return rounded(xs.momentum(daily(spark, sf_dir), 20, 2).select("instrument", "date", "factor"))

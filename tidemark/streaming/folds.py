@@ -247,14 +247,14 @@ def stop(query, mode: str = "drain") -> None:
     query.stop()
 
 
-def cusum(ticks: DataFrame, threshold: float) -> DataFrame:
-    """Ticks at which the symmetric CUSUM of log returns fires."""
+def cusum(ticks: DataFrame, threshold: float, skip: bool = True) -> DataFrame:
+    """Ticks at which the symmetric CUSUM of log returns fires. skip: see kernels.Cusum."""
 
     def rows(kernel, key, batch):
         return batch[[kernel.push(p) for p in batch["price"].tolist()]][["instrument", "ts", "seq", "price"]]
 
     schema = "instrument long, ts timestamp, seq long, price double"
-    return ticks.groupBy("instrument").transformWithStateInPandas(_Kernel(lambda: kernels.Cusum(threshold), rows), schema, "Append", "None")
+    return ticks.groupBy("instrument").transformWithStateInPandas(_Kernel(lambda: kernels.Cusum(threshold, skip), rows), schema, "Append", "None")
 
 
 def ewm_volatility(ticks: DataFrame, span: int) -> DataFrame:
