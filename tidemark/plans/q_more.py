@@ -16,7 +16,7 @@ from tidemark.plans.datasets import DAILY_SQL, RETURNS_SQL, daily
 from tidemark.plans.q_bars import TICKS_SQL, _ticks
 from tidemark.plans.q_conformal import PRED_SQL, _intervals, _pred
 from tidemark.plans.q_labels import SERIES_SQL, _series
-from tidemark.plans.q_research import rounded
+from tidemark.plans.q_research import round_half_away, rounded
 from tidemark.plans.registry import query, table
 from tidemark.sources import store
 
@@ -59,7 +59,7 @@ def cat_price_fundamentals(spark, sf_dir):
     own = _catalog(spark, sf_dir)
     own.views["income_stmt"] = own.views["income_stmt"].withColumn("metric", F.when(F.col("metric") == "1-URGENT", "urgent").when(F.col("metric") == "2-HIGH", "high_"))
     out = own.price_fundamentals(None, ["urgent", "high_"])
-    return out.select("ticker", "date", F.round("close", 4).alias("close"), "urgent", F.col("high_").alias("high"))
+    return out.select("ticker", "date", round_half_away("close", 4).alias("close"), "urgent", F.col("high_").alias("high"))
 
 
 @query("sig_latest", f"WITH {EAV_SQL}, r AS (SELECT * FROM eav WHERE date BETWEEN DATE '1995-01-01' AND DATE '1997-06-30') SELECT ticker, max(date) AS date, count(*) AS n FROM r GROUP BY 1")
