@@ -17,7 +17,7 @@ PRICES = [
     [0.16, 1.4407499999999999, 1.44075, 3.0, 0.08, 0.7203749],
 ]
 LINES = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM '/root/testdata/sf0.01/lineitem.parquet' WHERE l_suppkey < 30"
-QUERIES = "label_cusum label_sample_weights label_ewm_vol label_triple_barrier stream_cusum cat_price_fundamentals".split()
+QUERIES = "label_cusum label_sample_weights label_ewm_vol label_triple_barrier stream_cusum cat_price_fundamentals ex_states".split()
 
 
 @pytest.fixture(scope="module")

@@ -170,10 +170,10 @@ def ex_states(spark, sf_dir):
     kind = F.when(F.col("l_linenumber") == 6, "split").when(F.col("l_linenumber") == 7, "dividend").otherwise("fill")
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"), F.row_number().over(w).alias("seq"), kind.alias("kind"), F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), F.lit(1.0).alias("commission"), F.lit(2.0).alias("ratio"), F.lit(0.5).alias("per_share"),
+        round_half_away(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), F.lit(1.0).alias("commission"), F.lit(2.0).alias("ratio"), F.lit(0.5).alias("per_share"),
     )
     out = bt.states(rows, at=("seq",))
-    return out.select("ticker", "seq", "position", F.round("avg_cost", 5).alias("avg_cost"), F.round("cash", 2).alias("cash"))
+    return out.select("ticker", "seq", "position", round_half_away("avg_cost", 5).alias("avg_cost"), round_half_away("cash", 2).alias("cash"))
 
 
 @query("ex_recovered", "SELECT user_id AS ticker, round(sum(value), 4) AS qty FROM events GROUP BY 1")
