@@ -45,3 +45,13 @@ def test_equal_value_for_value(spark, edges, name):
     names = [c[0] for c in found.description]
     want = Counter(map(exact, found.fetchall()))
     assert Counter(map(exact, registry.queries()[name](spark, folder).select(*names).collect())) == want
+
+
+def test_bootstrap_broadcasts_no_rows(spark):
+    from tidemark.operators import labels
+
+    rows = spark.range(100_000).selectExpr("id % 10 instrument", "cast(id div 10 as int) pos", "id * 1.5 price")
+    out = labels.block_bootstrap(rows, 5, 3)
+    assert out.count() == 300_000
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -194,7 +194,8 @@ def block_bootstrap(rows: DataFrame, block: int, replicates: int, seed: int = 0,
     room = F.col("n") if circular else F.greatest(F.col("n") - block + 1, F.lit(1))
     plan = plan.withColumn("start", F.pmod(F.xxhash64("instrument", "replicate", "b", F.lit(seed)), room))
     plan = plan.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumns({"i": F.col("b") * block + F.col("o"), "pos": ((F.col("start") + F.col("o")) % F.col("n")).cast("int")})
-    return plan.filter(F.col("i") < F.col("n")).select("instrument", "replicate", "i", "pos").join(rows, ["instrument", "pos"])
+    # the planner takes the exploded plan for as small as the counts it is made of, and would broadcast it
+    return plan.filter(F.col("i") < F.col("n")).select("instrument", "replicate", "i", "pos").join(rows.hint("merge"), ["instrument", "pos"])
 
 
 def sequential_bootstrap(spans: DataFrame, seed: int = 0) -> DataFrame:
