@@ -115,3 +115,13 @@ def test_every_latin_character_in_every_place():
         texts += [f"{c}", f"ab{c}", f"AB{c},", f"{c}é.", f"x {c}{c} y", f"a{c}b's"]
     for text, ids in zip(texts, words.encode(texts), strict=True):
         assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_only_words_that_end_in_marks_are_matched(monkeypatch):
+    seen = []
+    monkeypatch.setattr(token_files.pc, "extract_regex", lambda words, pattern, f=token_files.pc.extract_regex: (seen.extend(words.to_pylist()), f(words, pattern))[1])
+    words = token_files.Words(open(PATH, encoding="utf-8").read())
+    texts = ["One, two. three", "...", "four!? FIVE", None, "", "a.b é."]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert [*ids.tolist(), 1] == ids_of(text)
+    assert sorted(seen) == sorted(["one,", "two.", "...", "four!?", "é."])

@@ -49,8 +49,9 @@ CELLS = 1 << 18
 LATIN = "\u0250"  # below it nothing is composed, and letters are letters to every version of Unicode
 PLAIN = r"^[\x{00}-\x{12F}\x{131}-\x{24F}]*$"  # of these each has one lower-case form, one character long
 #: a word that ends in marks behind a letter or digit
+MARKS = ".,;:!?|%$&#*"
 CORE = r"(?s)^(?P<core>.*[\p{L}\p{N}])(?P<tail>[.,;:!?|%$&#*]+)$"
-CACHE = 400_000
+CACHE = 1_000_000  # about 200 bytes each
 PIECE = 8 << 20  # bytes of text that are encoded together
 BLOCKS = "task int, start_in_task long, n_docs int, n_tokens long, payload binary"
 
@@ -110,18 +111,22 @@ class Words:
         """Ids of words. Lower-case words of Latin letters go to the library's model, their bytes spelled in its letters;
         others go through the whole tokenizer."""
         model, letters = self.tokenizer.model.tokenize, self.letters
-        found: dict[str, list[int]] = {}
+        out: list = [None] * len(words)
         if self.direct:
-            for w in words:
-                if w.isalpha() and w.islower() and max(w) < LATIN:
-                    found[w] = [t.id for t in model(w if w.isascii() else "".join([letters[b] for b in w.encode()]))]
-        rest = [w for w in words if w not in found]
+            for i, w in enumerate(words):
+                if w.isalpha() and w.islower():
+                    if w.isascii():
+                        out[i] = [t.id for t in model(w)]
+                    elif max(w) < LATIN:
+                        out[i] = [t.id for t in model("".join([letters[b] for b in w.encode()]))]
+        rest = [w for w, ids in zip(words, out, strict=True) if ids is None]
+        found: dict[str, list[int]] = {}
         if self.mark is not None:
             begins = re.compile(self.begins).search
-            found |= self.joined([w for w in rest if not begins(w)])
+            found = self.joined([w for w in rest if not begins(w)])
             rest = [w for w in rest if w not in found]
         found.update((w, e.ids) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [found[w] for w in words]
+        return [found[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The number of each of these words, which differ; new ones are encoded and numbered."""
@@ -151,9 +156,13 @@ class Words:
         if self.begins:
             plain = pc.and_(plain, pc.invert(pc.match_substring_regex(words, self.begins)))
         low = pc.if_else(plain, pc.utf8_lower(words), words)
-        found = pc.extract_regex(low, CORE)
-        both = pc.and_(plain, pc.is_valid(found))
-        return pc.if_else(both, pc.struct_field(found, "core"), low), pc.if_else(both, pc.struct_field(found, "tail"), none)
+        # the pattern is slow, so only words that end in marks are matched
+        marked = pc.and_(plain, pc.invert(pc.equal(pc.utf8_rtrim(low, characters=MARKS), low)))
+        ending = low.filter(marked)
+        found = pc.extract_regex(ending, CORE)
+        both = pc.is_valid(found)
+        core, tail = pc.if_else(both, pc.struct_field(found, "core"), ending), pc.if_else(both, pc.struct_field(found, "tail"), none)
+        return pc.replace_with_mask(low, marked, core), pc.replace_with_mask(pc.if_else(pc.is_valid(low), none, low), marked, tail)
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -182,7 +191,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
     symbols = ids.astype(np.uint32)
     while len(symbols) > 1 and n_rules < most:
         left, right = symbols[:-1], symbols[1:]
-        cell = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int32)
+        cell = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.intp)
         inner = ends[(ends > 0) & (ends < len(symbols))] - 1
         cell[inner] = CELLS  # a pair across documents
         counts = np.bincount(cell, minlength=CELLS + 1)
@@ -195,7 +204,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
             break
         rule = np.full(CELLS + 1, -1, np.int32)
         rule[top] = np.arange(len(top))
-        which = rule[cell]
+        which = rule.take(cell)
         at = np.flatnonzero(which >= 0)
         which = which[at]
         place = np.zeros(len(top), np.int64)
