@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
-from tidemark.llm.common import discard, materialized, worker_state
+from tidemark.llm.common import discard, materialized, pieces, trimmed, worker_state
 from tidemark.llm.components import components
 
 LIGHTEST = 32  # largest boundary that is weighed
@@ -50,6 +50,8 @@ HEAVY_SHARE = 1000  # a shingle found in one document of so many is put last
 HEAVY_PART = 3
 VERIFY_COST = 4  # of a pair, against listing a shingle
 NO_ID = (1 << 63) - 1
+PIECE = 8 << 20  # bytes of text whose sets a task holds at once
+SUBSETS = 1_000_000  # of light sets, and a set's more, that a task holds at once
 SET_COLUMNS = "doc_id long, th long, n long, h1 long, h2 long, tokens array<long>, narrow binary, wide binary"
 PAIRS = "a long, b long"
 
@@ -128,7 +130,7 @@ def document_sets(docs: DataFrame, size: int, per_cent: int, heavy: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = held.value
         worker_state("sets")
-        for batch in batches:
+        for batch in pieces(batches, "text", PIECE):
             rows = []
             for _, s in shingles.sets(batch["text"], size):
                 if not len(s):
@@ -143,6 +145,7 @@ def document_sets(docs: DataFrame, size: int, per_cent: int, heavy: np.ndarray,
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+        trimmed()
 
     return docs.mapInArrow(run, SET_COLUMNS)
 
@@ -162,8 +165,12 @@ def light_links(classes: DataFrame, per_cent: int, most: int) -> DataFrame:
     """Links among sets of up to `most` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, keys: list, sizes: list, rows: list) -> pa.RecordBatch:
+            at = pa.array(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), batch["cid"].take(at), batch["n"].take(at)], names=["key", "c", "cid", "n"])
+
         for batch in batches:
-            keys, sizes, rows = [], [], []
+            keys, sizes, rows, held = [], [], [], 0
             for row, (n, tokens) in enumerate(zip(batch["n"].to_pylist(), batch["tokens"].to_pylist(), strict=True)):
                 weights = shingles.mixed(np.array(tokens, np.int64).view(np.uint64))
                 total = weights.sum(dtype=np.uint64)
@@ -173,9 +180,13 @@ def light_links(classes: DataFrame, per_cent: int, most: int) -> DataFrame:
                     keys.append(found.view(np.int64))
                     sizes.append(np.full(len(found), n - d, np.int64))
                     rows.append(np.full(len(found), row, np.int64))
+                    held += len(found)
+                if held > SUBSETS:
+                    yield made(batch, keys, sizes, rows)
+                    keys, sizes, rows, held = [], [], [], 0
             if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), batch["cid"].take(at), batch["n"].take(at)], names=["key", "c", "cid", "n"])
+                yield made(batch, keys, sizes, rows)
+        trimmed()
 
     # sets of fewer shingles than this link with equal ones only
     least = next(n for n in range(1, 1000) if kept(n, per_cent) < n)
@@ -264,6 +275,7 @@ def list_pairs(postings: DataFrame, per_cent: int, most_light: int, second: bool
             held = {c: x[cut:] for c, x in rows.items()}
         if held is not None and len(held["n"]):
             yield scanned(held)
+        trimmed()
 
     dealt = postings.select(*names, "sketch").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "cid")
     return dealt.mapInArrow(run, PAIRS).distinct()
