@@ -12,7 +12,7 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 Null texts have no language, so the first stage drops them. Null and repeated doc_ids are allowed: no stage joins rows
 by doc_id alone. Extra columns are carried through all stages but the last, whatever their names. Empty tables go through
-as empty tables.
+as empty tables. Each stage begins with the executors giving back the memory of the one before it.
 """
 
 from __future__ import annotations
@@ -21,28 +21,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, language, ngram_join, secrets
-from tidemark.llm.common import discard, documents, materialized
+from tidemark.llm.common import discard, documents, materialized, released
 from tidemark.llm.queries import vocabulary
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     model = language.fit(docs, F.lit(True))
     return language.kept(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.first_of_each(docs, size=5, per_cent=80)
+    released(spark)
+    kept = ngram_join.first_of_each(docs, size=5, per_cent=80)
+    released(spark)  # the groups are found; what is left is joins, and the next stage has no Python either
+    return kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark, workers=False)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     return secrets.redact(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     return bpe.encode(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -1,12 +1,14 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tidemark.llm import bpe, secrets  # noqa: E402
+from tidemark.llm import bpe, common, secrets  # noqa: E402
 from tests.llm.test_decontaminate import brute as leaks  # noqa: E402
 from tests.llm.test_ngram_join import brute as groups  # noqa: E402
 
@@ -87,3 +89,41 @@ def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
     own = [r["text"] for r in got if r["doc_id"] is None]
     assert own == [text.replace(value, "[SECRET]")]
     assert sum(r["doc_id"] == 7 for r in got) == 1
+
+
+def states(spark):
+    """What the Python workers hold, each told once by as many tasks as there are cores."""
+
+    def told(batches):
+        time.sleep(0.5)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([",".join(common._HELD)] * batch.num_rows)], names=["s"])
+
+    cores = spark.sparkContext.defaultParallelism
+    return {r["s"] for r in spark.range(0, cores, 1, cores).mapInArrow(told, "s string").collect()}
+
+
+def test_released_workers_hold_nothing_of_the_step_before(spark):
+    def holding(batches):
+        common.worker_state("large", lambda: bytes(1 << 20))
+        time.sleep(0.5)
+        yield from batches
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).mapInArrow(holding, "id long").collect()
+    common.released(spark, workers=False)
+    assert "large" in states(spark)
+    common.released(spark)
+    assert states(spark) == {"released"}
+
+
+def test_every_stage_begins_with_memory_given_back(spark, tmp_path, monkeypatch):
+    rows, items = made()
+    sf, calls = str(tmp_path), []
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame(items, "item_id long, text string, x int").write.parquet(f"{sf}/benchmark.parquet")
+    monkeypatch.setattr(corpus_pipeline, "released", lambda s, workers=True: calls.append((name, workers)))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf)
+    # decontaminate keeps to DataFrame operations, so the workers are seen to at the end of the stage before it
+    assert calls == [("language", True), ("near_duplicates", True), ("near_duplicates", True), ("decontaminate", False), ("secrets", True), ("bpe", True)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: files of finished shuffles go at the end of the job, not when the driver's garbage happens to be collected
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -97,6 +99,24 @@ def trimmed() -> None:
         pass
 
 
+def released(spark: SparkSession, workers: bool = True) -> None:
+    """Has every executor give back the memory that nothing uses any more: the heap that the steps before have grown, which
+    would otherwise stay beside the workers of the steps to come, and, if `workers`, the state of Python workers. One task
+    a core; with workers each waits a little, so that no core runs two of them."""
+
+    def idle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("released")
+        trimmed()
+        time.sleep(0.3)
+        yield from batches
+
+    cores = spark.sparkContext.defaultParallelism
+    tasks = spark.range(0, cores, 1, cores)
+    if workers:
+        tasks = tasks.mapInArrow(idle, "id long")
+    tasks.select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the column's bytes come to more than `most`; a longer value is a piece of its own."""
     for batch in batches:
